@@ -194,7 +194,7 @@ def substitute_ip(ip: str, h: str) -> str:
     a, b, c = f"{u(h, 1)} % 256", f"{u(h, 2)} % 256", f"{u(h, 3)} % 256"
     kind = (f"(case when {prefix(ip)} < 12 then 0 when {prefix(ip)} < 16 then {u(h, 0)} % 2 "
             f"else {u(h, 0)} % 3 end)")
-    base = (f"(case when not {private(addr)} then {octet} * 16777216 + {a} * 65536 + {b} * 256 + {c} "
+    base = (f"(case when not {private(addr)} then {octet}::bigint * 16777216 + {a} * 65536 + {b} * 256 + {c} "
             f"when {kind} = 0 then {_n('10.0.0.0')} + {a} * 65536 + {b} * 256 + {c} "
             f"when {kind} = 1 then {_n('172.16.0.0')} + {u(h, 1)} % 16 * 65536 + {b} * 256 + {c} "
             f"else {_n('192.168.0.0')} + {b} * 256 + {c} end)")
