@@ -145,8 +145,8 @@ def substitute_collisions(spark, folder):
     return mapping.collisions(_store(spark, folder))
 
 
-@query("substitute_unique", STORE + """select * replace (case when place > 1 then substitute || ' ' || place::varchar else substitute end as substitute)
- exclude (place) from (select *, row_number() over (partition by entity_type, substitute order by first_seen, original_hash) as place from store)""")
+@query("substitute_unique", STORE + """select * exclude (place) replace (case when place > 1 then substitute || ' ' || place::varchar else substitute end as substitute)
+ from (select *, row_number() over (partition by entity_type, substitute order by first_seen, original_hash) as place from store)""")
 def substitute_unique(spark, folder):
     return mapping.disambiguate(_store(spark, folder))
 
@@ -217,7 +217,7 @@ def stats_export(spark, folder):
     return stats.export_table(_store(spark, folder))
 
 
-# Configuration: one configuration per order, up to seven type rows each.
+# Configuration: one configuration per order, six type rows each.
 CONFIGS = Derived("orders", {"o": "o_orderkey", "k": "o_custkey", "sent": "o_orderdate"}, {
     "id": "o",
     "name": "'config ' || cast(k as string)",
@@ -231,18 +231,18 @@ CONFIGS = Derived("orders", {"o": "o_orderkey", "k": "o_custkey", "sent": "o_ord
 _KIND = "case n {} else 'COORDINATE' end".format(" ".join(
     f"when {i + 1} then '{t}'" for i, t in enumerate(
         ("CREDIT_CARD", "US_SSN", "GUID", "STREET_ADDRESS", "EMAIL_ADDRESS", "PHONE_NUMBER"))))
-TYPES = Derived("lineitem", {"c": "l_orderkey", "n": "l_linenumber", "p": "l_partkey"}, {
+TYPES = Derived("orders", {"c": "o_orderkey", "p": "o_custkey"}, {
     "config_id": "c",
     "entity_type": _KIND,
-    "enabled": "p % 3 <> 0",
-    "strategy": "case p % 4 when 0 then 'replace' when 1 then 'mask' when 2 then 'hash' else 'redact' end",
-})
-UPDATES = Derived("lineitem", {"c": "l_orderkey", "n": "l_linenumber", "p": "l_partkey"}, {
+    "enabled": "(p + n) % 3 <> 0",
+    "strategy": "case (p + n) % 4 when 0 then 'replace' when 1 then 'mask' when 2 then 'hash' else 'redact' end",
+}, times=6)
+UPDATES = Derived("orders", {"c": "o_orderkey", "p": "o_custkey"}, {
     "config_id": "c + 1",
-    "entity_type": "case when n = 7 then '' else " + _KIND + " end",
-    "enabled": "case p % 3 when 0 then true when 1 then false end",
-    "strategy": "case p % 2 when 0 then 'redact' end",
-})
+    "entity_type": "case when n = 6 then '' else " + _KIND + " end",
+    "enabled": "case (p + n) % 3 when 0 then true when 1 then false end",
+    "strategy": "case (p + n) % 2 when 0 then 'redact' end",
+}, times=7)
 _CONF = f"with conf as ({CONFIGS.sql}), types as ({TYPES.sql}), updates as ({UPDATES.sql}) "
 _ACTIVE = "(select * from conf where is_active order by updated_at desc, id limit 1)"
 

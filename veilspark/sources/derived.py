@@ -105,21 +105,29 @@ _DEVICE = f"""'{{"deviceId":"' || {guid('k + 1')} || '","displayName":"'
 
 @dataclass(frozen=True)
 class Derived:
-    """A table, names for its columns, and the columns computed from them."""
+    """A table, names for its columns, and the columns computed from them.
+
+    With ``times`` each row comes that often, numbered from 1 as ``n``.
+    """
 
     source: str
     base: dict[str, str]
     columns: dict[str, str]
+    times: int = 0
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
-        renamed = table(spark, folder, self.source).selectExpr(
-            *[f"{e} as {n}" for n, e in self.base.items()])
+        base = [f"{e} as {n}" for n, e in self.base.items()]
+        if self.times:
+            base.append(f"explode(sequence(1, {self.times})) as n")
+        renamed = table(spark, folder, self.source).selectExpr(*base)
         return renamed.selectExpr(*[f"{e} as {n}" for n, e in self.columns.items()])
 
     @property
     def sql(self) -> str:
         outer = ", ".join(f"{e} as {n}" for n, e in self.columns.items())
         inner = ", ".join(f"{e} as {n}" for n, e in self.base.items())
+        if self.times:
+            inner += f", unnest(range(1, {self.times + 1})) as n"
         return f"select {outer} from (select {inner} from {self.source}) q"
 
 
