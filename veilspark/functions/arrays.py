@@ -18,7 +18,9 @@ _CHUNK = 1024
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
-    Without it an expression used inside a lambda is evaluated per element.
+    Without it an expression used inside a lambda is evaluated per element. Each
+    level of nesting costs the analyzer a few rounds, so chains of steps over a
+    table are columns of their own instead (see ``operators.cleaning``).
     """
     return F.transform(F.array(value), body)[0]
 

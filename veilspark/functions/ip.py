@@ -82,44 +82,47 @@ def is_network(ip: Column) -> Column:
     return F.coalesce(to_number(address(ip)) % host_block(prefix_length(ip)) == 0, F.lit(False))
 
 
+def _octet(key: Column) -> Column:
+    octets = F.expr(f"array({', '.join(str(o) for o in PUBLIC_OCTETS)})")
+    return octets[(draw(key, 0) % len(PUBLIC_OCTETS)).cast("int")].cast("bigint")
+
+
+def _dotted(*parts: Column) -> Column:
+    return F.concat_ws(".", *[p.cast("string") for p in parts])
+
+
 def _host(key: Column, private: Column) -> Column:
     a, b, c = draw(key, 1) % 256, draw(key, 2) % 256, 1 + draw(key, 3) % 254
-    octet = F.element_at(F.array(*[F.lit(o) for o in PUBLIC_OCTETS]),
-                         (draw(key, 0) % len(PUBLIC_OCTETS) + 1).cast("int"))
-    kind = draw(key, 0) % 3
-    return (
-        F.when(~private, F.concat_ws(".", octet.cast("string"), a.cast("string"),
-                                     b.cast("string"), c.cast("string")))
-        .when(kind == 0, F.concat_ws(".", F.lit("10"), a.cast("string"), b.cast("string"),
-                                     c.cast("string")))
-        .when(kind == 1, F.concat_ws(".", F.lit("172"), (16 + a % 16).cast("string"),
-                                     b.cast("string"), c.cast("string")))
-        .otherwise(F.concat_ws(".", F.lit("192.168"), b.cast("string"), c.cast("string")))
+    return let(
+        draw(key, 0) % 3,
+        lambda kind: F.when(~private, _dotted(_octet(key), a, b, c))
+        .when(kind == 0, _dotted(F.lit("10"), a, b, c))
+        .when(kind == 1, _dotted(F.lit("172"), 16 + a % 16, b, c))
+        .otherwise(_dotted(F.lit("192.168"), b, c)),
     )
 
 
 def _network(key: Column, private: Column, prefix: Column) -> Column:
     # Only ranges that can hold a network of this size are drawn from.
-    choices = F.when(prefix < 12, 1).when(prefix < 16, 2).otherwise(3)
-    kind = draw(key, 0) % choices
-    a, b, c = draw(key, 1) % 256, draw(key, 2) % 256, draw(key, 3) % 256
-    octet = F.element_at(F.array(*[F.lit(o) for o in PUBLIC_OCTETS]),
-                         (draw(key, 0) % len(PUBLIC_OCTETS) + 1).cast("int")).cast("bigint")
-    base = (
-        F.when(~private, octet * 16777216 + a * 65536 + b * 256 + c)
-        .when(kind == 0, F.lit(_number("10.0.0.0")) + a * 65536 + b * 256 + c)
-        .when(kind == 1, F.lit(_number("172.16.0.0")) + (a % 16) * 65536 + b * 256 + c)
-        .otherwise(F.lit(_number("192.168.0.0")) + b * 256 + c)
-    )
+    kind = draw(key, 0) % F.when(prefix < 12, 1).when(prefix < 16, 2).otherwise(3)
+    a, low = draw(key, 1) % 256, (draw(key, 2) % 256) * 256 + draw(key, 3) % 256
+    base = let(kind, lambda k: (
+        F.when(~private, _octet(key) * 16777216 + a * 65536)
+        .when(k == 0, F.lit(_number("10.0.0.0")) + a * 65536)
+        .when(k == 1, F.lit(_number("172.16.0.0")) + (a % 16) * 65536)
+        .otherwise(F.lit(_number("192.168.0.0")).cast("bigint"))
+    ) + low)
     return let(base, lambda n: F.concat(to_quad(n - n % host_block(prefix)), F.lit("/"),
                                         prefix.cast("string")))
 
 
 def substitute_ip(ip: Column, key: Column) -> Column:
     """Same class (private or public), same kind (host or network), same suffix."""
-    quad = F.regexp_extract(address(ip), r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", 1)
-    return (
-        F.when(is_network(ip), _network(key, is_private(address(ip)), prefix_length(ip)))
-        .when(quad == "", _host(key, F.lit(False)))
-        .otherwise(F.concat(_host(key, is_private(quad)), F.coalesce(suffix(ip), F.lit(""))))
-    )
+    found = F.regexp_extract(address(ip), r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", 1)
+    facts = let(found, lambda quad: F.struct(
+        quad.alias("quad"), is_private(quad).alias("private"), is_network(ip).alias("network"),
+        prefix_length(ip).alias("prefix")))
+    return let(facts, lambda f: F.when(f["network"], _network(key, f["private"], f["prefix"]))
+               .when(f["quad"] == "", _host(key, F.lit(False)))
+               .otherwise(F.concat(_host(key, f["private"]),
+                                   F.coalesce(suffix(ip), F.lit("")))))

@@ -17,62 +17,60 @@ from .patterns import (
     CONTEXT_FLOOR,
     CONTEXT_TOKENS,
     CONTEXT_WORDS,
-    DEFAULT_THRESHOLD,
     ENTITY_TYPES,
     TYPE_RANK,
     Pattern,
-    select_patterns,
 )
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
-_FOUND = (
+FOUND = (
     "struct<start:int,neg_end:int,rank:int,entity_type:string,score:double,text:string>"
 )
-_HIT = (
-    "struct<entity_type:string,rank:int,score:double,values:array<string>,gaps:array<string>>"
-)
+_HIT = "struct<pattern:int,values:array<string>,gaps:array<string>>"
 
 
-def _hits(text: Column, p: Pattern) -> Column:
+def _hits(text: Column, number: int, p: Pattern) -> Column:
     """Matches of one pattern and the gaps between them; null when there is none."""
-
-    def located(values: Column) -> Column:
-        return F.when(
-            F.size(values) > 0,
-            F.struct(
-                F.lit(p.entity_type).alias("entity_type"),
-                F.lit(TYPE_RANK[p.entity_type]).alias("rank"),
-                F.lit(p.score).cast("double").alias("score"),
-                values.alias("values"),
-                F.split(text, p.java, -1).alias("gaps"),
-            ),
-        )
-
-    found = let(F.regexp_extract_all(text, F.lit(p.java), F.lit(0)), located)
+    test = text.rlike(p.java)
     if p.must_contain:
-        found = F.when(F.contains(text, F.lit(p.must_contain)), found)
-    return found
-
-
-def _spans_of_hits(hit: Column) -> Column:
-    """Turn values and gaps of one pattern into spans by running sums of lengths."""
-    return let(
-        running_sum(F.zip_with(hit["gaps"], hit["values"],
-                               lambda g, v: F.length(g) + F.coalesce(F.length(v), F.lit(0)))),
-        lambda before: F.transform(
-            hit["values"],
-            lambda v, i: let(
-                before[i] + F.length(hit["gaps"][i]),
-                lambda start: F.struct(
-                    start.alias("start"),
-                    (-(start + F.length(v))).alias("neg_end"),
-                    hit["rank"].alias("rank"),
-                    hit["entity_type"].alias("entity_type"),
-                    hit["score"].alias("score"),
-                    v.alias("text"),
-                ),
+        test = F.contains(text, F.lit(p.must_contain)) & test
+    return F.when(test, F.struct(
+        F.lit(number).alias("pattern"),
+        F.regexp_extract_all(text, F.lit(p.java), F.lit(0)).alias("values"),
+        F.split(text, p.java, -1).alias("gaps"),
+    ))
+
+
+def _labels(patterns: list[Pattern]) -> Column:
+    """Type, rank and score of each pattern, a constant."""
+    rows = ", ".join(
+        f"named_struct('entity_type', '{p.entity_type}', 'rank', {TYPE_RANK[p.entity_type]}, "
+        f"'score', {p.score}D)" for p in patterns)
+    return F.expr(f"array({rows})")
+
+
+def _starts(hit: Column) -> Column:
+    """Where the matches of one pattern begin, by running sums of lengths."""
+    ahead = F.zip_with(hit["gaps"], hit["values"],
+                       lambda g, v: F.length(g) + F.coalesce(F.length(v), F.lit(0)))
+    return F.zip_with(running_sum(ahead), hit["gaps"], lambda before, g: before + F.length(g))
+
+
+def _spans_of_hits(hit: Column, labels: Column) -> Column:
+    label = labels[hit["pattern"]]
+    return F.filter(
+        F.zip_with(
+            _starts(hit), hit["values"],
+            lambda start, v: F.struct(
+                start.alias("start"),
+                (-(start + F.length(v))).alias("neg_end"),
+                label["rank"].alias("rank"),
+                label["entity_type"].alias("entity_type"),
+                label["score"].alias("score"),
+                v.alias("text"),
             ),
         ),
+        lambda s: s["text"].isNotNull(),  # the last gap has no match behind it
     )
 
 
@@ -124,61 +122,10 @@ def _checked(spans: Column, patterns: list[Pattern]) -> Column:
     return F.filter(spans, passes)
 
 
-def detect_spans(
-    text: Column,
-    entity_types: list[str] | None = None,
-    threshold: float = DEFAULT_THRESHOLD,
-    patterns: list[Pattern] | None = None,
-    context: bool = True,
-) -> Column:
-    """All spans at or above the threshold, sorted by start, overlaps included."""
-    chosen = select_patterns(entity_types, threshold) if patterns is None else patterns
-    return F.transform(
-        _found(text, chosen, threshold, context),
-        lambda s: F.struct(
-            s["entity_type"].alias("entity_type"),
-            s["start"].alias("start"),
-            (-s["neg_end"]).alias("end"),
-            s["score"].alias("score"),
-            s["text"].alias("text"),
-        ),
-    )
-
-
-def _found(text: Column, chosen: list[Pattern], threshold: float, context: bool) -> Column:
-    nothing = F.array().cast(f"array<{_FOUND}>")
-    if not chosen:
-        return nothing
-    types = {p.entity_type for p in chosen if p.context}
-
-    def scored(spans: Column) -> Column:
-        if not context or not types:
-            return F.transform(spans, lambda s: s.withField("score", F.round(s["score"], 4)))
-        return let(
-            chunks(text),
-            lambda parts: F.transform(
-                spans,
-                lambda s: s.withField(
-                    "score",
-                    boosted(
-                        s["score"],
-                        F.when(
-                            s["entity_type"].isin(*sorted(types)),
-                            let(context_window(parts, s["start"]),
-                                lambda w: has_context(w, s["entity_type"], types)),
-                        ).otherwise(F.lit(False)),
-                    ),
-                ),
-            ),
-        )
-
-    def assembled(hits: Column) -> Column:
-        spans = _checked(F.flatten(F.transform(hits, _spans_of_hits)), chosen)
-        kept = F.filter(scored(spans), lambda s: s["score"] >= threshold)
-        return F.when(F.size(hits) == 0, nothing).otherwise(F.array_sort(kept))
-
-    always = [_hits(text, p) for p in chosen if not p.has_digit]
-    with_digit = [_hits(text, p) for p in chosen if p.has_digit]
+def find_hits(text: Column, chosen: list[Pattern]) -> Column:
+    """Step 1: for each pattern with a match its values and gaps."""
+    always = [_hits(text, i, p) for i, p in enumerate(chosen) if not p.has_digit]
+    with_digit = [_hits(text, i, p) for i, p in enumerate(chosen) if p.has_digit]
     groups = [F.array(*always)] if always else []
     if with_digit:
         groups.append(
@@ -186,50 +133,70 @@ def _found(text: Column, chosen: list[Pattern], threshold: float, context: bool)
                 F.array().cast(f"array<{_HIT}>")
             )
         )
-    return let(F.array_compact(F.concat(*groups)), assembled)
+    if not groups:
+        return F.array().cast(f"array<{_HIT}>")
+    return F.array_compact(F.concat(*groups))
+
 
+def parts_if_needed(text: Column, hits: Column) -> Column:
+    """Step 2: the text in chunks, only where something was found."""
+    return F.when(F.size(hits) > 0, chunks(text))
 
-def resolve_spans(spans: Column, text: Column) -> Column:
-    """Merge overlapping spans so that every character belongs to at most one.
+
+def place_spans(hits: Column, chosen: list[Pattern]) -> Column:
+    """Step 3: spans with offsets that pass their check digits, without context yet."""
+    if not chosen:
+        return F.array().cast(f"array<{FOUND}>")
+    labels = _labels(chosen)
+    return _checked(F.flatten(F.transform(hits, lambda h: _spans_of_hits(h, labels))), chosen)
+
+
+def score_spans(spans: Column, parts: Column, chosen: list[Pattern], threshold: float,
+                context: bool = True) -> Column:
+    """Step 4: scores raised by context, spans below the threshold dropped, sorted."""
+    types = {p.entity_type for p in chosen if p.context}
+
+    def scored(s: Column) -> Column:
+        if not context or not types:
+            return s.withField("score", F.round(s["score"], 4))
+        helped = F.when(
+            s["entity_type"].isin(*sorted(types)),
+            let(context_window(parts, s["start"]),
+                lambda w: has_context(w, s["entity_type"], types)),
+        ).otherwise(F.lit(False))
+        return s.withField("score", boosted(s["score"], helped))
+
+    return F.array_sort(
+        F.filter(F.transform(spans, scored), lambda s: s["score"] >= threshold))
+
+
+def merge_overlaps(found: Column, parts: Column) -> Column:
+    """Step 5: overlapping spans become one, so that every character is in at most one.
 
     Spans that overlap form an island. It covers all their characters and takes
     the label of its longest member, then the surest, then the lowest type rank:
     a contained span disappears in its container, and the tail of a partial
     overlap is never left exposed. Spans that only touch stay apart.
     """
-    rank = F.create_map(*[F.lit(x) for pair in TYPE_RANK.items() for x in pair])
-
-    def ordered(raw: Column) -> Column:
-        return F.array_sort(
-            F.transform(
-                raw,
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    (-s["end"]).alias("neg_end"),
-                    F.coalesce(F.try_element_at(rank, s["entity_type"]),
-                               F.lit(len(TYPE_RANK))).alias("rank"),
-                    s["entity_type"].alias("entity_type"),
-                    s["score"].alias("score"),
-                ),
-            )
-        )
 
-    def island(members: Column, parts: Column) -> Column:
-        best = F.array_min(
-            F.transform(
-                members,
-                lambda m: F.struct(
-                    (m["neg_end"] + m["start"]).alias("neg_length"),
-                    (-m["score"]).alias("neg_score"),
-                    m["rank"].alias("rank"),
-                    m["entity_type"].alias("entity_type"),
-                ),
-            )
-        )
+    def island(members: Column) -> Column:
         start = members[0]["start"]
-        end = F.array_max(F.transform(members, lambda m: -m["neg_end"]))
+        summed = F.struct(
+            F.array_min(
+                F.transform(
+                    members,
+                    lambda m: F.struct(
+                        (m["neg_end"] + m["start"]).alias("neg_length"),
+                        (-m["score"]).alias("neg_score"),
+                        m["rank"].alias("rank"),
+                        m["entity_type"].alias("entity_type"),
+                    ),
+                )
+            ).alias("best"),
+            (-F.array_min(F.transform(members, lambda m: m["neg_end"]))).alias("end"),
+        )
         return let(
-            F.struct(best.alias("best"), end.alias("end")),
+            summed,
             lambda i: F.struct(
                 i["best"]["entity_type"].alias("entity_type"),
                 start.alias("start"),
@@ -239,32 +206,31 @@ def resolve_spans(spans: Column, text: Column) -> Column:
             ),
         )
 
-    def merged(s: Column) -> Column:
-        reach = running_max(F.transform(s, lambda m: -m["neg_end"]))
-        heads = let(
-            reach,
-            lambda r: F.filter(F.sequence(F.lit(0), F.size(s) - 1),
-                               lambda i: s[i]["start"] >= r[i]),
-        )
-        return let(
+    def merged(heads: Column) -> Column:
+        return F.transform(
             heads,
-            lambda h: let(
-                chunks(text),
-                lambda parts: F.transform(
-                    h,
-                    lambda lo, j: island(
-                        F.slice(s, lo + 1,
-                                F.when(j + 1 < F.size(h), F.try_element_at(h, j + 2))
-                                .otherwise(F.size(s)) - lo),
-                        parts,
-                    ),
-                ),
-            ),
+            lambda lo, j: island(F.slice(
+                found, lo + 1,
+                F.when(j + 1 < F.size(heads), F.try_element_at(heads, j + 2))
+                .otherwise(F.size(found)) - lo)),
         )
 
-    return let(
-        spans,
-        lambda raw: F.when(F.size(raw) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(
-            let(ordered(raw), merged)
+    reach = running_max(F.transform(found, lambda m: -m["neg_end"]))
+    heads = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(found) - 1),
+                                          lambda i: found[i]["start"] >= r[i]))
+    return F.when(F.size(found) > 0, let(heads, merged)).otherwise(
+        F.array().cast(f"array<{SPAN}>"))
+
+
+def as_spans(found: Column) -> Column:
+    """Found spans in their outside form."""
+    return F.transform(
+        found,
+        lambda s: F.struct(
+            s["entity_type"].alias("entity_type"),
+            s["start"].alias("start"),
+            (-s["neg_end"]).alias("end"),
+            s["score"].alias("score"),
+            s["text"].alias("text"),
         ),
     )

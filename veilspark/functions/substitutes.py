@@ -31,7 +31,9 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def pick(pool: tuple[str, ...], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in pool]), (number % len(pool) + 1).cast("int"))
+    """One of a short constant pool."""
+    constant = F.expr("array({})".format(", ".join(f"'{p}'" for p in pool)))
+    return constant[(number % len(pool)).cast("int")]
 
 
 def letter(number: Column) -> Column:
@@ -52,12 +54,10 @@ def person(h: Column, country: str) -> Column:
 
 def place(h: Column) -> Column:
     """A city with its coordinates: ``struct<name, latitude, longitude, country_code>``."""
-    cities = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(la).alias("latitude"),
-                 F.lit(lo).alias("longitude"), F.lit(cc).alias("country_code"))
-        for n, la, lo, cc in CITIES
-    ])
-    return F.element_at(cities, (draw(h, 0) % len(CITIES) + 1).cast("int"))
+    rows = ", ".join(
+        f"named_struct('name', '{n}', 'latitude', '{la}', 'longitude', '{lo}', "
+        f"'country_code', '{cc}')" for n, la, lo, cc in CITIES)
+    return F.expr(f"array({rows})")[(draw(h, 0) % len(CITIES)).cast("int")]
 
 
 def coordinate(value: Column, h: Column) -> Column:

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import chunks, let, piece, running_sum
 from ..functions.keys import mapping_key
-from ..functions.patterns import DEFAULT_THRESHOLD, ENTITY_TYPES, select_patterns
+from ..functions.patterns import DEFAULT_THRESHOLD, ENTITY_TYPES, Pattern, select_patterns
 from ..functions.pools import DEFAULT_LOCALE
-from ..functions.spans import detect_spans, resolve_spans
+from ..functions.spans import (
+    FOUND,
+    as_spans,
+    find_hits,
+    merge_overlaps,
+    parts_if_needed,
+    place_spans,
+    score_spans,
+)
 from ..functions.strategies import by_type
 
 
@@ -25,6 +34,9 @@ class CleanConfig:
     secret: str = ""
     strategies: dict[str, tuple[str, dict[str, Any] | None]] = field(default_factory=dict)
 
+    def __hash__(self) -> int:
+        return hash(repr(self))
+
     @property
     def types(self) -> list[str]:
         return list(self.entity_types or ENTITY_TYPES)
@@ -35,14 +47,61 @@ class CleanConfig:
         return [t for t in self.types if self.strategies.get(t, ("replace", None))[0] == "replace"]
 
 
-def with_detections(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text"
-                    ) -> DataFrame:
-    """Add ``detections``: every span at or above the threshold, overlaps included."""
-    return texts.withColumn(
-        "detections", detect_spans(F.col(text), config.entity_types, config.threshold)
+def with_spans(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
+               patterns: list[Pattern] | None = None, context: bool = True,
+               resolve: bool = True) -> DataFrame:
+    """Add ``found`` (all spans at or above the threshold), ``spans`` (overlaps merged) and
+    ``parts`` (the text in chunks, for cutting).
+
+    Each step is a column of its own and is used more than once by the next, so
+    the optimizer keeps it as a step and the patterns run once.
+    """
+    chosen = tuple(select_patterns(config.entity_types, config.threshold)
+                   if patterns is None else patterns)
+    for name, step in _steps(_application(texts), text, chosen, config.threshold, context):
+        texts = texts.withColumn(name, step)
+    texts = texts.drop("hits", "placed")
+    return texts.withColumn("spans", _merged(_application(texts))) if resolve else texts
+
+
+def _application(df: DataFrame) -> str:
+    return df.sparkSession.sparkContext.applicationId
+
+
+@lru_cache(maxsize=64)
+def _steps(application: str, text: str, chosen: tuple[Pattern, ...], threshold: float,
+           context: bool) -> tuple[tuple[str, Column], ...]:
+    """The columns of each step. They only name columns, so one set serves all tables of
+    an application; putting a large expression together takes longer than planning it."""
+    c = F.col
+    return (
+        ("hits", find_hits(c(text), list(chosen))),
+        ("parts", parts_if_needed(c(text), c("hits"))),
+        ("placed", F.when(F.size("hits") > 0, place_spans(c("hits"), list(chosen)))
+         .otherwise(F.array().cast(f"array<{FOUND}>"))),
+        ("found", F.when(F.size("placed") > 0, score_spans(
+            c("placed"), c("parts"), list(chosen), threshold, context)).otherwise(c("placed"))),
     )
 
 
+@lru_cache(maxsize=4)
+def _merged(application: str) -> Column:
+    return merge_overlaps(F.col("found"), F.col("parts"))
+
+
+def detect(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
+           patterns: list[Pattern] | None = None, context: bool = True) -> DataFrame:
+    """Add ``detections``: every span at or above the threshold, overlaps included."""
+    rows = with_spans(texts, config, text, patterns, context, resolve=False)
+    return rows.select(*texts.columns, as_spans(F.col("found")).alias("detections"))
+
+
+def resolved(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text"
+             ) -> DataFrame:
+    """Add ``spans``: detections with overlaps merged."""
+    return with_spans(texts, config, text).select(*texts.columns, "spans")
+
+
 def explode_spans(df: DataFrame, spans: str, *keep: str) -> DataFrame:
     """One row per span.
 
@@ -94,62 +153,63 @@ def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None
     return F.transform(spans, one)
 
 
-def rewrite(text: Column, spans: Column) -> Column:
+def rewrite(text: Column, spans: Column, parts: Column) -> Column:
     """The text with every span replaced by its substitute."""
-
-    def rebuilt(s: Column, parts: Column) -> Column:
-        pieces = F.transform(
-            s,
-            lambda x, i: F.concat(
-                piece(parts, F.when(i > 0, F.try_element_at(s, i)["end"]).otherwise(F.lit(0)),
-                      x["start"]),
-                x["substitute"],
-            ),
-        )
-        tail = piece(parts, F.element_at(s, -1)["end"], F.length(text))
-        return F.concat(F.array_join(pieces, ""), tail)
-
-    return let(
+    pieces = F.transform(
         spans,
-        lambda s: F.when(F.size(s) == 0, text).otherwise(
-            let(chunks(text), lambda parts: rebuilt(s, parts))
+        lambda x, i: F.concat(
+            piece(parts, F.when(i > 0, F.try_element_at(spans, i)["end"]).otherwise(F.lit(0)),
+                  x["start"]),
+            x["substitute"],
         ),
     )
+    tail = piece(parts, F.element_at(spans, -1)["end"], F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
 
 
-def cleaned(text: Column, config: CleanConfig = CleanConfig(), pinned: Column | None = None
-            ) -> Column:
-    """All results for one text in a struct, so that each step runs once.
+def clean_texts(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
+                pinned: Column | None = None) -> DataFrame:
+    """Put ``anonymized_text``, ``substitutions`` and two counters in the place of the text.
 
-    ``struct<anonymized_text, substitutions, entities_detected, entities_anonymized>``
+    A narrow chain of projections: no shuffle, no Python worker.
     """
-
-    def result(found: Column) -> Column:
-        return let(
-            substituted(resolve_spans(found, text), config, pinned),
-            lambda subs: F.struct(
-                rewrite(text, subs).alias("anonymized_text"),
-                subs.alias("substitutions"),
-                F.size(found).cast("bigint").alias("entities_detected"),
-                F.size(subs).cast("bigint").alias("entities_anonymized"),
-            ),
+    kept = [c for c in texts.columns if c != text]
+    c = F.col
+    made = (_substituted(_application(texts), config) if pinned is None
+            else substituted(c("spans"), config, pinned))
+    return (
+        with_spans(texts, config, text)
+        .withColumn("substitutions", made)
+        .select(
+            *kept,
+            rewrite(c(text), c("substitutions"), c("parts")).alias("anonymized_text"),
+            "substitutions",
+            F.size("found").cast("bigint").alias("entities_detected"),
+            F.size("substitutions").cast("bigint").alias("entities_anonymized"),
         )
-
-    return let(detect_spans(text, config.entity_types, config.threshold), result)
+    )
 
 
-def clean_texts(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
-                pinned: Column | None = None) -> DataFrame:
-    """Replace ``text`` by the cleaned text, its substitutions and its counters."""
-    kept = [c for c in texts.columns if c not in (text, pinned is not None and "pinned")]
-    return texts.select(*kept, cleaned(F.col(text), config, pinned).alias("result")).select(
-        *kept, "result.*"
-    )
+@lru_cache(maxsize=32)
+def _substituted(application: str, config: CleanConfig) -> Column:
+    return substituted(F.col("spans"), config)
 
 
 def clean_value(value: Column, config: CleanConfig = CleanConfig()) -> Column:
-    """The cleaned text only."""
-    return cleaned(value, config)["anonymized_text"]
+    """The cleaned text of one value as an expression, for use inside arrays."""
+    chosen = select_patterns(config.entity_types, config.threshold)
+
+    def after_hits(hits: Column, parts: Column) -> Column:
+        found = let(place_spans(hits, chosen), lambda p: score_spans(
+            p, parts, chosen, config.threshold))
+        spans = let(found, lambda f: merge_overlaps(f, parts))
+        return let(substituted(spans, config), lambda s: rewrite(value, s, parts))
+
+    return let(
+        find_hits(value, chosen),
+        lambda hits: F.when(F.size(hits) == 0, value).otherwise(
+            let(chunks(value), lambda parts: after_hits(hits, parts))),
+    )
 
 
 def output_offsets(substitutions: Column) -> Column:

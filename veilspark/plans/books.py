@@ -6,11 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import let
 from ..functions.keys import mapping_id
-from ..functions.spans import detect_spans, resolve_spans
+from ..functions.spans import as_spans
 from ..operators import audit, config, mapping, stats
-from ..operators.cleaning import clean_texts
+from ..operators.cleaning import CleanConfig, clean_texts, with_spans
 from ..sources.derived import MESSAGES, Derived, table
 from . import oracle as o
 from .registry import query
@@ -325,12 +324,8 @@ r as (select id, count(*) as r from res group by 1)
 select id, sent as timestamp, 'anonymize' as operation, coalesce(t, 'EMAIL_ADDRESS,PHONE_NUMBER') as types, length(text) as input_length,
  coalesce(d, 0) as entities_detected, coalesce(r, 0) as entities_anonymized from src left join d using (id) left join r using (id)""")
 def audit_rows(spark, folder):
-    text = F.col("text")
-    found = let(detect_spans(text, _REQUESTED), lambda d: F.struct(
-        d.alias("detections"), F.size(resolve_spans(d, text)).alias("n")))
-    texts = _texts(spark, folder).withColumn("found", found)
-    rows = audit.text_rows(texts, F.col("found.detections"), F.col("found.n"), "sent",
-                           _REQUESTED)
+    texts = with_spans(_texts(spark, folder), CleanConfig(_REQUESTED))
+    rows = audit.text_rows(texts, as_spans(F.col("found")), F.size("spans"), "sent", _REQUESTED)
     return rows.withColumn("types", F.array_join("entity_types_processed", ",")).drop(
         "entity_types_processed")
 
@@ -342,12 +337,9 @@ select timestamp '2024-06-01' as timestamp, 'batch_anonymize' as operation, 'EMA
  (select sum(length(text))::bigint from src) as input_length, (select count(*) from det) as entities_detected,
  (select count(*) from res) as entities_anonymized""")
 def audit_batch(spark, folder):
-    text = F.col("text")
-    counts = let(detect_spans(text, _REQUESTED), lambda d: F.struct(
-        F.size(d).alias("entities_detected"),
-        F.size(resolve_spans(d, text)).alias("entities_anonymized")))
-    counted = _texts(spark, folder).select(
-        F.length(text).alias("input_length"), counts.alias("c")).select("input_length", "c.*")
+    counted = with_spans(_texts(spark, folder), CleanConfig(_REQUESTED)).select(
+        F.length("text").alias("input_length"), F.size("found").alias("entities_detected"),
+        F.size("spans").alias("entities_anonymized"))
     row = audit.batch_row(counted, "input_length", F.lit("2024-06-01").cast("timestamp_ntz"),
                           _REQUESTED)
     return row.withColumn("types", F.array_join("entity_types_processed", ",")).drop(

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import ip as ipf
 from ..functions.keys import mapping_id, mapping_key
 from ..functions.names import is_latin
-from ..functions.spans import detect_spans, resolve_spans
 from ..functions.strategies import apply_strategy, by_type
 from ..functions.substitutes import place, substitute
 from ..operators.cleaning import (
@@ -15,7 +14,9 @@ from ..operators.cleaning import (
     clean_texts,
     explode_spans,
     output_offsets,
+    resolved,
     segments,
+    with_spans,
 )
 from ..operators.names import name_origin, person_substitutes, top_names
 from ..sources.derived import IPS, MESSAGES, NAMES, table
@@ -74,12 +75,8 @@ def substitutions(spark, folder):
  (select count(*) from det) as entities_detected, (select count(*) from res) as entities_anonymized,
  (select sum(length(text))::bigint from src) as input_length""")
 def batch_totals(spark, folder):
-    # Counters only: the optimizer drops the rewriting.
-    texts = MESSAGES.frame(spark, folder)
-    found = texts.select(F.length("text").alias("n"), detect_spans(F.col("text")).alias("d"),
-                         "text")
-    counted = found.select("n", F.size("d").alias("d"),
-                           F.size(resolve_spans(F.col("d"), F.col("text"))).alias("a"))
+    counted = with_spans(MESSAGES.frame(spark, folder)).select(
+        F.length("text").alias("n"), F.size("found").alias("d"), F.size("spans").alias("a"))
     return counted.agg(
         F.count("*").alias("texts"), F.sum("d").alias("entities_detected"),
         F.sum("a").alias("entities_anonymized"), F.sum("n").alias("input_length"))
@@ -302,9 +299,7 @@ def substitutes_person_origin(spark, folder):
 
 # Strategies, over every resolved value of the messages.
 def _values(spark, folder) -> DataFrame:
-    spans = resolve_spans(detect_spans(F.col("text")), F.col("text"))
-    found = MESSAGES.frame(spark, folder).select("id", spans.alias("spans"))
-    return explode_spans(found, "spans", "id")
+    return explode_spans(resolved(MESSAGES.frame(spark, folder)), "spans", "id")
 
 
 _VALUES = f"with src as ({MESSAGES.sql}),\n{o.detections('src')},\n{o.resolved('src')}\n"

@@ -9,12 +9,10 @@ from ..functions.patterns import (
     ENTITY_TYPES,
     PATTERNS,
     TYPE_RANK,
-    select_patterns,
 )
-from ..functions.spans import detect_spans, resolve_spans
 from ..operators.audit_patterns import pattern_counts, pattern_matches
 from ..operators.catalogue import entity_types, locales
-from ..operators.cleaning import explode_spans
+from ..operators.cleaning import CleanConfig, detect, explode_spans, resolved
 from ..operators.gazetteer import gazetteer_spans
 from ..sources.derived import MESSAGES, PROBE, table
 from . import oracle as o
@@ -26,11 +24,10 @@ SPAN_SQL = """select id, entity_type, start, end_ as "end", round(score, 4) as s
 
 def spans_of(texts: DataFrame, types=None, threshold: float = 0.7, context: bool = True,
              resolve: bool = False, patterns=None) -> DataFrame:
-    spans = detect_spans(F.col("text"), types, threshold, patterns, context)
+    config = CleanConfig(types, threshold)
     if resolve:
-        spans = resolve_spans(spans, F.col("text"))
-    found = texts.select("id", spans.alias("spans"))
-    return explode_spans(found, "spans", "id")
+        return explode_spans(resolved(texts, config), "spans", "id")
+    return explode_spans(detect(texts, config, "text", patterns, context), "detections", "id")
 
 
 def _documents(spark, folder):
@@ -117,9 +114,8 @@ def resolve_overlaps(spark, folder):
 @query("types_per_document", _detections() + """select id, count(distinct entity_type) as n_types,
  string_agg(distinct entity_type, ',' order by entity_type) as types from det group by id""")
 def types_per_document(spark, folder):
-    spans = detect_spans(F.col("text"))
-    kinds = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["entity_type"])))
-    found = MESSAGES.frame(spark, folder).select("id", kinds.alias("kinds"))
+    kinds = F.array_sort(F.array_distinct(F.transform("detections", lambda s: s["entity_type"])))
+    found = detect(MESSAGES.frame(spark, folder)).select("id", kinds.alias("kinds"))
     # Explode and regroup would shuffle; the array is enough.
     return found.select(
         "id", F.size("kinds").cast("bigint").alias("n_types"),
