@@ -58,10 +58,25 @@ def with_spans(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str
     """
     chosen = tuple(select_patterns(config.entity_types, config.threshold)
                    if patterns is None else patterns)
-    for name, step in _steps(_application(texts), text, chosen, config.threshold, context):
-        texts = texts.withColumn(name, step)
-    texts = texts.drop("hits", "placed")
-    return texts.withColumn("spans", _merged(_application(texts))) if resolve else texts
+    app, base = _application(texts), texts.columns
+    hits, parts, placed, found = _steps(app, text, chosen, config.threshold, context)
+    rows = computed(texts, hits=hits).withColumn("parts", parts).withColumn("placed", placed)
+    if resolve:
+        return computed(rows.withColumn("made", found), found=F.col("made"), spans=_merged(app)
+                        ).select(*base, "parts", "found", "spans")
+    return computed(rows, found=found).select(*base, "parts", "found")
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add expensive columns through a one-row generator.
+
+    The optimizer pushes a filter on a plain column below its projection, which
+    would run the patterns once for the filter and once more for the result, and
+    with steps on top of each other many times over. It does not push a filter on
+    a generated column; filters on the other columns still reach the scan.
+    """
+    fields = [c.alias(name) for name, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
 
 
 def _application(df: DataFrame) -> str:
@@ -70,23 +85,23 @@ def _application(df: DataFrame) -> str:
 
 @lru_cache(maxsize=64)
 def _steps(application: str, text: str, chosen: tuple[Pattern, ...], threshold: float,
-           context: bool) -> tuple[tuple[str, Column], ...]:
+           context: bool) -> tuple[Column, Column, Column, Column]:
     """The columns of each step. They only name columns, so one set serves all tables of
     an application; putting a large expression together takes longer than planning it."""
     c = F.col
     return (
-        ("hits", find_hits(c(text), list(chosen))),
-        ("parts", parts_if_needed(c(text), c("hits"))),
-        ("placed", F.when(F.size("hits") > 0, place_spans(c("hits"), list(chosen)))
-         .otherwise(F.array().cast(f"array<{FOUND}>"))),
-        ("found", F.when(F.size("placed") > 0, score_spans(
-            c("placed"), c("parts"), list(chosen), threshold, context)).otherwise(c("placed"))),
+        find_hits(c(text), list(chosen)),
+        parts_if_needed(c(text), c("hits")),
+        F.when(F.size("hits") > 0, place_spans(c("hits"), list(chosen))).otherwise(
+            F.array().cast(f"array<{FOUND}>")),
+        F.when(F.size("placed") > 0, score_spans(
+            c("placed"), c("parts"), list(chosen), threshold, context)).otherwise(c("placed")),
     )
 
 
 @lru_cache(maxsize=4)
 def _merged(application: str) -> Column:
-    return merge_overlaps(F.col("found"), F.col("parts"))
+    return merge_overlaps(F.col("made"), F.col("parts"))
 
 
 def detect(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
@@ -177,16 +192,15 @@ def clean_texts(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str
     c = F.col
     made = (_substituted(_application(texts), config) if pinned is None
             else substituted(c("spans"), config, pinned))
-    return (
-        with_spans(texts, config, text)
-        .withColumn("substitutions", made)
-        .select(
-            *kept,
-            rewrite(c(text), c("substitutions"), c("parts")).alias("anonymized_text"),
-            "substitutions",
-            F.size("found").cast("bigint").alias("entities_detected"),
-            F.size("substitutions").cast("bigint").alias("entities_anonymized"),
-        )
+    rows = with_spans(texts, config, text).withColumn("made", made)
+    return computed(
+        rows,
+        anonymized_text=rewrite(c(text), c("made"), c("parts")),
+        substitutions=c("made"),
+    ).select(
+        *kept, "anonymized_text", "substitutions",
+        F.size("found").cast("bigint").alias("entities_detected"),
+        F.size("substitutions").cast("bigint").alias("entities_anonymized"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import mapping_key
 from ..functions.substitutes import substitute
-from .cleaning import CleanConfig, clean_value
+from .cleaning import CleanConfig, clean_texts, clean_value, computed
 from .skew import keyed_join
 
 # --- fixed values -----------------------------------------------------------
@@ -110,8 +110,8 @@ def unique_values(values: DataFrame) -> DataFrame:
 
 def dictionary(values: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """Each different value, cleaned on its own. Holds originals: not to be stored."""
-    return values.select("value").distinct().select(
-        "value", clean_value(F.col("value"), config).alias("cleaned"))
+    return clean_texts(values.select(F.col("value").alias("text")).distinct().withColumn(
+        "value", F.col("text")), config).select("value", F.col("anonymized_text").alias("cleaned"))
 
 
 def apply_dictionary(values: DataFrame, words: DataFrame, row_id: str) -> DataFrame:
@@ -149,7 +149,7 @@ def clean_records(records: DataFrame, config: CleanConfig = CleanConfig(),
         F.array(*[source(s) for s in free]),
         lambda v: F.when(v.isNotNull(), clean_value(v, config)),
     )
-    worked = structs.withColumn("_clean", cleaned)
+    worked = computed(structs, _clean=cleaned)
 
     def result(slot: str) -> Column:
         if slot in known:
