@@ -26,6 +26,7 @@ SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 FOUND = (
     "struct<start:int,neg_end:int,rank:int,entity_type:string,score:double,text:string>"
 )
+_MARK = "\x01"
 _HIT = "struct<pattern:int,values:array<string>,gaps:array<string>>"
 
 
@@ -37,10 +38,21 @@ def _hits(text: Column, number: int, p: Pattern) -> Column:
     return F.when(test, F.struct(
         F.lit(number).alias("pattern"),
         F.regexp_extract_all(text, F.lit(p.java), F.lit(0)).alias("values"),
-        F.split(text, p.java, -1).alias("gaps"),
+        _gaps(text, p).alias("gaps"),
     ))
 
 
+def _gaps(text: Column, p: Pattern) -> Column:
+    """The text between the matches.
+
+    ``split`` compiles its pattern for every row, ``regexp_replace`` once per task:
+    matches become a mark first, and the split is on the mark. A text that holds
+    the mark itself is split by the pattern.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(p.java), F.lit(_MARK)), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, p.java, -1)).otherwise(marked)
+
+
 def _labels(patterns: list[Pattern]) -> Column:
     """Type, rank and score of each pattern, a constant."""
     rows = ", ".join(

@@ -20,6 +20,7 @@ from ..operators.cleaning import (
 )
 from ..operators.names import name_origin, person_substitutes, top_names
 from ..sources.derived import IPS, MESSAGES, NAMES, table
+from ..sources.files import spread
 from . import oracle as o
 from .registry import query
 
@@ -38,7 +39,7 @@ select done.id as {id}, anonymized_text, coalesce(d, 0) as entities_detected, co
 def _anonymize(name: str, source: str, select: str, columns: list[str], id_name: str) -> None:
     @query(name, o.full(select) + _COUNTS.format(id=id_name))
     def run(spark, folder):
-        texts = table(spark, folder, source).selectExpr(*columns)
+        texts = spread(table(spark, folder, source).selectExpr(*columns))
         return clean_texts(texts).select(
             F.col("id").alias(id_name), "anonymized_text", "entities_detected",
             "entities_anonymized")

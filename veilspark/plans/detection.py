@@ -15,6 +15,7 @@ from ..operators.catalogue import entity_types, locales
 from ..operators.cleaning import CleanConfig, detect, explode_spans, resolved
 from ..operators.gazetteer import gazetteer_spans
 from ..sources.derived import MESSAGES, PROBE, table
+from ..sources.files import spread
 from . import oracle as o
 from .registry import query
 
@@ -31,7 +32,7 @@ def spans_of(texts: DataFrame, types=None, threshold: float = 0.7, context: bool
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents").selectExpr("doc_id as id", "text")
+    return spread(table(spark, folder, "documents").selectExpr("doc_id as id", "text"))
 
 
 DOCUMENTS_SQL = "select doc_id as id, text from documents"
@@ -48,7 +49,7 @@ def _span_query(name: str, types: list[str], source, source_sql: str, threshold:
 
 
 def _pages(spark, folder):
-    return table(spark, folder, "pages").selectExpr("page_id as id", "html as text")
+    return spread(table(spark, folder, "pages").selectExpr("page_id as id", "html as text"))
 
 
 # Thresholds are low enough to show hits with and without context.

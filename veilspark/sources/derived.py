@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -119,7 +121,7 @@ class Derived:
         base = [f"{e} as {n}" for n, e in self.base.items()]
         if self.times:
             base.append(f"explode(sequence(1, {self.times})) as n")
-        renamed = table(spark, folder, self.source).selectExpr(*base)
+        renamed = spread(table(spark, folder, self.source).selectExpr(*base))
         return renamed.selectExpr(*[f"{e} as {n}" for n, e in self.columns.items()])
 
     @property

@@ -8,6 +8,17 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores.
+
+    Detection is all computing, and a small file is one partition. Real tables
+    have more partitions than cores and are left as they are. For plain scans
+    only: asking anything else for its partitions may run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str = "id",
                text: str = "text", **options: str) -> DataFrame:
     """A table of texts as ``(id, text)``. Lines of plain text are keyed by their hash and
