@@ -16,10 +16,8 @@ from veilspark.session import local_session
 
 HEADLINE = (
     "anonymize_documents", "anonymize_pages", "anonymize_turns", "anonymize_messages",
-    "substitutions", "batch_totals", "detect_all", "resolve_overlaps", "audit_pattern_counts",
-    "mapping_build", "mapping_merge", "document_counters", "mapping_page", "stats_by_type",
-    "stats_top_by_type", "stats_export", "strategy_by_type", "records_clean",
-    "records_dictionary", "compare_summary", "leak_check", "name_origin", "detect_gazetteer",
+    "batch_totals", "audit_pattern_counts", "mapping_build", "mapping_merge",
+    "stats_by_type", "stats_export", "records_clean", "name_origin", "detect_gazetteer",
     "config_upsert_types", "windowed_scan",
 )
 

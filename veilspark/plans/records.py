@@ -199,7 +199,9 @@ pairs as (select entry, position, path, value as original, coalesce(cleaned, val
 
 @query("compare_pairs", f"with {REC} select count(*) filter (where {_CLEAN_LOST}) as paired, count(*) filter (where not ({_CLEAN_LOST})) as only_original, 0 as only_clean from rec")
 def compare_pairs(spark, folder):
-    return compare.pair_counts(*_sides(spark, folder), "entry")
+    # Pairing needs the keys only, and cleaning does not touch them.
+    keys = _records(spark, folder).select("entry", "DurationMs")
+    return compare.pair_counts(keys, keys.filter(_CLEAN_LOST), "entry")
 
 
 @query("compare_values", PAIRS + "select * from pairs")
