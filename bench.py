@@ -36,6 +36,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total time of headline queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(folder).removeprefix("sf"),
