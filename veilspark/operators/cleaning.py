@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import chunks, let, piece, running_sum
 from ..functions.keys import mapping_key
-from ..functions.patterns import DEFAULT_THRESHOLD, ENTITY_TYPES, Pattern, select_patterns
+from ..functions.patterns import (
+    DEFAULT_THRESHOLD,
+    ENTITY_TYPES,
+    TYPE_RANK,
+    Pattern,
+    select_patterns,
+)
 from ..functions.pools import DEFAULT_LOCALE
 from ..functions.spans import (
     FOUND,
@@ -49,7 +55,7 @@ class CleanConfig:
 
 def with_spans(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
                patterns: list[Pattern] | None = None, context: bool = True,
-               resolve: bool = True) -> DataFrame:
+               resolve: bool = True, extra: str | None = None) -> DataFrame:
     """Add ``found`` (all spans at or above the threshold), ``spans`` (overlaps merged) and
     ``parts`` (the text in chunks, for cutting).
 
@@ -58,15 +64,34 @@ def with_spans(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str
     """
     chosen = tuple(select_patterns(config.entity_types, config.threshold)
                    if patterns is None else patterns)
-    app, base = _application(texts), texts.columns
+    app, base = _application(texts), [c for c in texts.columns if c != extra]
     hits, parts, placed, found = _steps(app, text, chosen, config.threshold, context)
-    rows = computed(texts, hits=hits).withColumn("parts", parts).withColumn("placed", placed)
+    rows = computed(texts, hits=hits)
+    if extra is not None:
+        parts = F.when((F.size("hits") > 0) | (F.coalesce(F.size(extra), F.lit(0)) > 0),
+                       chunks(F.col(text)))
+    rows = rows.withColumn("parts", parts).withColumn("placed", placed)
+    if extra is not None:
+        found = F.array_sort(F.concat(found, _given_spans(F.col(extra), config)))
     if resolve:
         return computed(rows.withColumn("made", found), found=F.col("made"), spans=_merged(app)
                         ).select(*base, "parts", "found", "spans")
     return computed(rows, found=found).select(*base, "parts", "found")
 
 
+def _given_spans(extra: Column, config: CleanConfig) -> Column:
+    """Spans found elsewhere, of a wanted type and score, in the form of found ones."""
+    rank = F.expr("map({})".format(", ".join(f"'{t}', {r}" for t, r in TYPE_RANK.items())))
+    wanted = F.filter(extra, lambda s: (s["score"] >= config.threshold)
+                      & s["entity_type"].isin(*config.types))
+    made = F.transform(wanted, lambda s: F.struct(
+        s["start"].cast("int").alias("start"), (-s["end"]).cast("int").alias("neg_end"),
+        rank[s["entity_type"]].alias("rank"), s["entity_type"].alias("entity_type"),
+        s["score"].cast("double").alias("score"),
+        piece(F.col("parts"), s["start"], s["end"]).alias("text")))
+    return F.coalesce(made, F.array().cast(f"array<{FOUND}>"))
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add expensive columns through a one-row generator.
 
@@ -141,11 +166,15 @@ def _extra_fields(df: DataFrame, spans: str) -> list[str]:
     return [n for n in names if n not in ("entity_type", "start", "end")]
 
 
-def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None) -> Column:
-    """Add key and substitute to resolved spans; a pinned substitute wins."""
+def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None,
+                given: bool = False) -> Column:
+    """Add key and substitute to resolved spans; a pinned substitute wins.
+
+    Without spans ``given`` from elsewhere only types with a pattern can occur.
+    """
+    chosen = select_patterns(config.entity_types, config.threshold)
     params = {"locale": config.locale, "secret": config.secret,
-              "types": [p.entity_type for p in
-                        select_patterns(config.entity_types, config.threshold)]}
+              "types": config.types if given else [p.entity_type for p in chosen]}
 
     def one(s: Column) -> Column:
         made = by_type(s["text"], s["entity_type"], config.strategies, params)
@@ -182,21 +211,27 @@ def rewrite(text: Column, spans: Column, parts: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
 
 
+def with_substitutions(texts: DataFrame, config: CleanConfig = CleanConfig(),
+                       text: str = "text", pinned: Column | None = None,
+                       extra: str | None = None) -> DataFrame:
+    """Add ``substitutions`` to what ``with_spans`` adds, for uses that need no new text."""
+    made = (_substituted(_application(texts), config) if pinned is None and extra is None
+            else substituted(F.col("spans"), config, pinned, extra is not None))
+    return computed(with_spans(texts, config, text, extra=extra), substitutions=made)
+
+
 def clean_texts(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",
-                pinned: Column | None = None) -> DataFrame:
+                pinned: Column | None = None, extra: str | None = None) -> DataFrame:
     """Put ``anonymized_text``, ``substitutions`` and two counters in the place of the text.
 
-    A narrow chain of projections: no shuffle, no Python worker.
+    A narrow chain of projections: no shuffle, no Python worker. ``extra`` names a
+    column of spans found elsewhere (names, places) to be cleaned as well.
     """
-    kept = [c for c in texts.columns if c != text]
+    kept = [c for c in texts.columns if c not in (text, extra)]
     c = F.col
-    made = (_substituted(_application(texts), config) if pinned is None
-            else substituted(c("spans"), config, pinned))
-    rows = with_spans(texts, config, text).withColumn("made", made)
+    rows = with_substitutions(texts, config, text, pinned, extra)
     return computed(
-        rows,
-        anonymized_text=rewrite(c(text), c("made"), c("parts")),
-        substitutions=c("made"),
+        rows, anonymized_text=rewrite(c(text), c("substitutions"), c("parts"))
     ).select(
         *kept, "anonymized_text", "substitutions",
         F.size("found").cast("bigint").alias("entities_detected"),

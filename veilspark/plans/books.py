@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.keys import mapping_id
 from ..functions.spans import as_spans
 from ..operators import audit, config, mapping, stats
-from ..operators.cleaning import CleanConfig, clean_texts, with_spans
+from ..operators.cleaning import CleanConfig, clean_texts, with_spans, with_substitutions
 from ..sources.derived import MESSAGES, Derived, table
 from . import oracle as o
 from .registry import query
@@ -30,7 +30,7 @@ def _texts(spark, folder) -> DataFrame:
 
 
 def _uses(texts: DataFrame) -> DataFrame:
-    return mapping.span_uses(clean_texts(texts), "sent", "id")
+    return mapping.span_uses(with_substitutions(texts), "sent", "id")
 
 
 def _store(spark, folder) -> DataFrame:

@@ -12,8 +12,8 @@ from ..functions.patterns import (
 )
 from ..operators.audit_patterns import pattern_counts, pattern_matches
 from ..operators.catalogue import entity_types, locales
-from ..operators.cleaning import CleanConfig, detect, explode_spans, resolved
-from ..operators.gazetteer import gazetteer_spans
+from ..operators.cleaning import CleanConfig, clean_texts, detect, explode_spans, resolved
+from ..operators.gazetteer import gazetteer_spans, with_gazetteer
 from ..sources.derived import MESSAGES, PROBE, table
 from ..sources.files import spread
 from . import oracle as o
@@ -168,19 +168,27 @@ _GAZETTEER_TEXT = """select c_custkey as id, 'From ' || n_name || ', ' || r_name
  join region on n_regionkey = r_regionkey"""
 
 
-@query("detect_gazetteer", f"""with src as ({_GAZETTEER_TEXT}),
+_GRAMS = f"""with src as ({_GAZETTEER_TEXT}),
 dict as ({_TERMS} union all select c_mktsegment || ' or', 'NRP', 0.9 from customer group by 1),
 parts as (select id, regexp_extract_all(text, '[^\\s.,;:!?()]+') as m,
  regexp_split_to_array(text, '[^\\s.,;:!?()]+') as g, text from src),
 words as (select *, unnest(range(1, len(m) + 1)) as i from parts),
-placed as (select id, text, m, i, (list_sum(list_transform(g[1:i], lambda x: length(x)))
+spots as (select id, text, m, i, (list_sum(list_transform(g[1:i], lambda x: length(x)))
  + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as start from words),
 grams as (select a.id, a.start, b.start + length(b.m[b.i]) as end_, array_to_string(a.m[a.i:b.i], ' ') as term,
  substring(a.text, a.start + 1, b.start + length(b.m[b.i]) - a.start) as text
- from placed a join placed b on a.id = b.id and b.i between a.i and a.i + 2)
-select id, d.entity_type, start, end_ as "end", d.score::double as score, grams.text as text
- from grams join dict d on lower(grams.term) = lower(d.term)""")
+ from spots a join spots b on a.id = b.id and b.i between a.i and a.i + 2)
+"""
+_HITS = "from grams join dict d on lower(grams.term) = lower(d.term)"
+
+
+@query("detect_gazetteer", _GRAMS + f"""select id, d.entity_type, start, end_ as "end", d.score::double as score, grams.text as text {_HITS}""")
 def detect_gazetteer(spark, folder):
+    return gazetteer_spans(*_gazetteer(spark, folder), "id")
+
+
+def _gazetteer(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Texts and the dictionary for them."""
     customer, nation, region = (table(spark, folder, t) for t in ("customer", "nation", "region"))
     texts = (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -194,4 +202,18 @@ def detect_gazetteer(spark, folder):
         .union(customer.select("c_mktsegment").distinct()
                .selectExpr("c_mktsegment || ' or'", "'NRP'", "0.9D"))
     )
-    return gazetteer_spans(texts, terms, "id")
+    return texts, terms
+
+
+_ALL = o.detections("src")
+_ALL_SPANS = f"""every as (select id, entity_type, rank, start, end_, score, value from det union all
+ select id, d.entity_type, case d.entity_type when 'LOCATION' then 10 else 13 end, start, end_, d.score::double, grams.text {_HITS})"""
+_DONE = ", ".join((_ALL, _ALL_SPANS, o.resolved("src", "every"),
+                   o.keyed(kinds=["LOCATION", "NRP"]), o.rewritten("src")))
+
+
+@query("anonymize_gazetteer", _GRAMS.rstrip() + ", " + _DONE + " select id, anonymized_text from done")
+def anonymize_gazetteer(spark, folder):
+    texts, terms = _gazetteer(spark, folder)
+    return clean_texts(with_gazetteer(texts, terms, "id"), extra="given").select(
+        "id", "anonymized_text")

@@ -259,9 +259,9 @@ def substitute(v: str, kind: str, h: str, types=None, locale: str = "en_US") ->
         default_substitute(h)
 
 
-def keyed(secret: str = "", types=None, threshold: float = DEFAULT_THRESHOLD) -> str:
+def keyed(secret: str = "", types=None, threshold: float = DEFAULT_THRESHOLD, kinds=()) -> str:
     """CTEs ending in ``sub``: resolved spans with key and substitute."""
-    wanted = sorted({p.entity_type for p in select_patterns(types, threshold)})
+    wanted = sorted({p.entity_type for p in select_patterns(types, threshold)} | set(kinds))
     return f"""hashed as (select *, {key('value', 'entity_type', secret)} as h from res),
 sub as (select *, {substitute('value', 'entity_type', 'h', wanted)} as substitute from hashed)"""
 
