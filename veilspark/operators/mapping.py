@@ -172,19 +172,31 @@ def collisions(store: DataFrame) -> DataFrame:
 def disambiguate(store: DataFrame, skip: tuple[str, ...] = ("NRP",)) -> DataFrame:
     """Give each value of a colliding substitute its own by a number behind it.
 
-    Opt-in. The oldest value keeps the plain form. Types with a fixed handful of
-    placeholders are left as they are: their groups grow with the data. The group
-    of one substitute shares a pool entry only, and the window never holds spans.
+    Opt-in. Values are numbered by day of first sight, then by hash; the first keeps
+    the plain form, and values of a later day never change the numbers of earlier
+    ones. A pool of a few cities means groups that grow with the data, so a group is
+    numbered in pieces (day and hash prefix) that are spread over the tasks, and only
+    the sizes of the pieces are summed in order. Types with placeholders for
+    everything are left as they are.
     """
-    group = Window.partitionBy("entity_type", "substitute").orderBy("first_seen",
-                                                                    "original_hash")
+    group = ["entity_type", "substitute"]
+    bit = [*group, "day", "bucket"]
     kept = store.filter(F.col("entity_type").isin(*skip))
-    numbered = store.filter(~F.col("entity_type").isin(*skip)).withColumn(
-        "place", F.row_number().over(group))
-    out = F.when(F.col("place") > 1, F.concat_ws(" ", F.col("substitute"),
-                                                 F.col("place").cast("string"))
+    rows = store.filter(~F.col("entity_type").isin(*skip)).withColumn(
+        "day", F.to_date("first_seen")).withColumn(
+        "bucket", F.substring("original_hash", 1, 2))
+    before = Window.partitionBy(*group).orderBy("day", "bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*bit).agg(F.count("*").alias("n")).withColumn(
+        "ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.row_number().over(Window.partitionBy(*bit).orderBy("original_hash"))
+    place = F.col("ahead") + F.col("inside")
+    out = F.when(place > 1, F.concat_ws(" ", F.col("substitute"), place.cast("string"))
                  ).otherwise(F.col("substitute"))
-    return numbered.withColumn("substitute", out).drop("place").unionByName(kept)
+    numbered = rows.withColumn("inside", inside).join(sizes, bit).withColumn("unique", out)
+    columns = [F.col("unique").alias(c) if c == "substitute" else F.col(c)
+               for c in store.columns]
+    return numbered.select(*columns).unionByName(kept)
 
 
 def backfill(store: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     Counts are partial before the shuffle, so a hot key costs one row per task.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") > F.col("total") * share).select(key)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.filter(F.col("n") > total * share).select(key)
 
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str, row_id: str, how: str = "inner",

@@ -145,7 +145,7 @@ def substitute_collisions(spark, folder):
 
 
 @query("substitute_unique", STORE + """select * exclude (place) replace (case when place > 1 then substitute || ' ' || place::varchar else substitute end as substitute)
- from (select *, row_number() over (partition by entity_type, substitute order by first_seen, original_hash) as place from store)""")
+ from (select *, row_number() over (partition by entity_type, substitute order by first_seen::date, original_hash) as place from store)""")
 def substitute_unique(spark, folder):
     return mapping.disambiguate(_store(spark, folder))
 
