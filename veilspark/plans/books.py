@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +11,7 @@ from ..functions.keys import mapping_id
 from ..functions.spans import as_spans
 from ..operators import audit, config, mapping, stats
 from ..operators.cleaning import CleanConfig, clean_texts, with_spans, with_substitutions
+from ..session import materialize
 from ..sources.derived import MESSAGES, Derived, table
 from . import oracle as o
 from .registry import query
@@ -37,6 +39,11 @@ def _store(spark, folder) -> DataFrame:
     return mapping.build(_uses(_texts(spark, folder)))
 
 
+def _written(spark, folder) -> DataFrame:
+    """The table as a stored one, for operators that read it more than once."""
+    return materialize(_store(spark, folder), f"store-{uuid.uuid4().hex}")
+
+
 def _both(spark, folder) -> tuple[DataFrame, DataFrame]:
     """The store so far and the usage of the batch."""
     uses = _uses(_texts(spark, folder))
@@ -80,7 +87,7 @@ def mapping_merge(spark, folder):
 @query("mapping_page", STORE + """select *, (select count(*) from store) as total from store
  order by first_seen desc, original_hash, entity_type limit 50 offset 20""")
 def mapping_page(spark, folder):
-    return mapping.page(_store(spark, folder), 50, 20)
+    return mapping.page(_written(spark, folder), 50, 20)
 
 
 _SOME_ID = "select ('0x' || substr(sha256('client1@mail1.example.com|EMAIL_ADDRESS'), 1, 15))::bigint"
@@ -147,7 +154,7 @@ def substitute_collisions(spark, folder):
 @query("substitute_unique", STORE + """select * exclude (place) replace (case when place > 1 then substitute || ' ' || place::varchar else substitute end as substitute)
  from (select *, row_number() over (partition by entity_type, substitute order by first_seen::date, original_hash) as place from store)""")
 def substitute_unique(spark, folder):
-    return mapping.disambiguate(_store(spark, folder))
+    return mapping.disambiguate(_written(spark, folder))
 
 
 @query("mapping_backfill", STORE + "select * replace (case when substitution_count % 2 = 0 then last_used else first_seen end as last_used) from store")
