@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
@@ -28,22 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="veilspark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    run = spark.sparkContext.applicationId
+    if run not in _LOCAL:
+        _LOCAL[run] = tempfile.mkdtemp(prefix="veilspark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _LOCAL[run]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call has."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/veilspark/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back.
+    """Write a result to the shared folder under a fresh name and read it back.
 
     Cuts the lineage in a way that survives the loss of executors: a reader finds
     the files, not a cached block.
     """
     spark = df.sparkSession
-    run = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark).rstrip('/')}/veilspark/{run}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
