@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, packing, sharding, simhash
 from .common import table
 
 QUERIES = {}
@@ -33,3 +33,26 @@ def op2_bpe(spark, folder):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    trees = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, trees).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_sharding(spark, folder):
+    return sharding.shard(table(spark, folder, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"), words=4, bits=4).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"))
