@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, simhash
+from veilspark.session import fresh_path
+
+from . import bpe, html, langid, nearest, neardup, packing, pii, sharding, simhash, warc
 from .common import table
 
 QUERIES = {}
@@ -56,3 +58,43 @@ def op10_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), words=4, bits=4).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+@query
+def op7_pii(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    listed = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(
+        base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op3_html_extraction(spark, folder):
+    return html.extract(table(spark, folder, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_embedding_near_dedup(spark, folder):
+    return neardup.near_vectors(table(spark, folder, "embeddings"), 0.98)
+
+
+@query
+def op8_warc(spark, folder):
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_nearest_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return nearest.nearest(vectors.filter("vec_id % 20 = 0"), vectors, 20)
