@@ -186,13 +186,13 @@ def best(page: Page) -> int | None:
 
 def read(page: Page, path: str | None) -> str:
     """The text of all containers with this path, else of the page's best container."""
+    score(page)
     roots = [i for i, n in enumerate(page.nodes) if path and n.path == path and not n.aside]
     if not any(page.nodes[r].score for r in roots):
-        score(page)
         own = best(page)
         if own is None:
             return ""
-        roots = roots if any(page.nodes[r].score for r in roots) else [own]
+        roots = [own]
     spans = [(r, page.nodes[r].last) for r in roots]
     return " ".join(words for at, words in page.blocks if not page.nodes[at].aside and any(
         a <= at <= b for a, b in spans))
