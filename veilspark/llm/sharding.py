@@ -163,6 +163,7 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     ), f"{name}-rows")
     groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("size")), f"{name}-groups")
     placed = materialize(assign_groups(groups, shards, name), f"{name}-placed")
-    numbered = gapless(stored(rows.drop("task").join(placed, "item"), f"{name}-dealt"), ["shard"],
-                       [F.col(id_col), F.col("item")], "slot")
+    # numbered by the task that read a row: a hot group is spread over all of these
+    dealt = materialize(rows.join(placed, "item"), f"{name}-dealt")
+    numbered = gapless(dealt, ["shard"], [F.col(id_col), F.col("item")], "slot")
     return numbered.select(id_col, "size", "text_crc32", "shard", "slot")
