@@ -17,13 +17,12 @@ import json
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_rows
-from .words import Encodings, spaced_chunks
+from .words import Encodings, held, spaced_chunks
 
 #: How a byte-level vocabulary writes bytes, and where it splits a text.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -140,9 +139,8 @@ class ByteBpe:
         return b"".join([table.get(i, b"") for i in numbers]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return held(("byte BPE", path), lambda: ByteBpe(path))
 
 
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

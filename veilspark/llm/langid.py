@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_rows
-from .words import Encodings
+from .words import Encodings, held
 
 ORDER = 4
 #: Labelled texts per language that the trees are fitted on, at most.
@@ -152,29 +152,24 @@ def predict(df: DataFrame, trees: ContextTrees, id_col: str = "doc_id",
     rows are returned whole, with the two columns added. Repeated rows stay; an empty
     table stays empty.
     """
-    held = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, dict(
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, dict(
         zip(trees.languages, trees.trees, strict=True))))
     rows = df if keep else df.select(F.col(id_col), F.col(text_col))
     fields = rows if keep else rows.select(id_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema)
 
     def step(group):
-        for row, (lang, score) in zip(group, _trees(held).predict(
+        for row, (lang, score) in zip(group, _trees(shared).predict(
                 [r[text_col] or "" for r in group]), strict=True):
             if not keep:
                 row = {id_col: row[id_col]}
             yield row | {"lang_pred": lang, "score": score}
 
-    return map_rows(rows, step, f"{schema}, lang_pred string, score double", weigh=text_col)
+    return map_rows(rows, step, f"{schema}, lang_pred string, score double",
+                    chars=2_000_000, weigh=text_col)
 
 
-_LOADED: dict = {}
-
-
-def _trees(held) -> ContextTrees:
+def _trees(shared) -> ContextTrees:
     """The trees of a broadcast, made once per worker."""
-    name, counts = held.value
-    if name not in _LOADED:
-        _LOADED.clear()
-        _LOADED[name] = ContextTrees(counts)
-    return _LOADED[name]
+    name, counts = shared.value
+    return held(("trees", name), lambda: ContextTrees(counts))

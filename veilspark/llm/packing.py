@@ -13,14 +13,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import gapless, map_rows, stored
-from .words import ODD, Encodings
+from .words import ODD, Encodings, held
 
 Line = tuple[tuple[int, ...], int]  # lengths of one sequence, number of such sequences
 
@@ -158,8 +157,12 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length",
     )
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """(encode a list of texts, the same kept per word), once per worker."""
+    return held(("words", path), lambda: _load(path))
+
+
+def _load(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

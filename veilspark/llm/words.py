@@ -16,6 +16,17 @@ def spaced_chunks(text: str) -> list[str]:
     return (_SPACED_ODD if ODD.search(text) else _SPACED).findall(text)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The model of this worker; another one takes its place, tables and all."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Encodings:
     """Piece -> value, filled in batches by ``encode`` and kept in two generations.
 
@@ -24,7 +35,7 @@ class Encodings:
     changes the time and never the result.
     """
 
-    def __init__(self, encode: Callable[[list], Iterable], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], Iterable], limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.young: dict = {}
         self.old: dict = {}
