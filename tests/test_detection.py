@@ -130,3 +130,68 @@ def test_patterns_run_once_under_a_filter(spark):
     ).executedPlan().toString()
     assert plan.count("us_phone") == 0 and plan.count(r"\(\d{3}\)\s*\d{3}") <= 5
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("ship to 12 Aa Bb Cc Dd Ee Ff Gg Hh Ii Street now", "12 Aa Bb Cc Dd Ee Ff Gg Hh Ii Street"),
+    ("ship to 12 Main Street and Second Road now", "12 Main Street and Second Road"),
+    ("ship to 12 St Marys Rd. Apt 7", "12 St Marys Rd. Apt 7"),
+    ("ship to 12 Oakstreet now", "12 Oakstreet"),
+    ("ship to 12 Main a Street now", None),
+    ("ship to 12 Main St. Paul", "12 Main St"),
+    ("ship to 7 " + "Long " * 2000 + "Street, Unit 4b", "7 " + "Long " * 2000 + "Street, Unit 4b"),
+])
+def test_streets_of_any_length(spark, text, expected):
+    found = spans(spark, text, resolve=True, entity_types=["STREET_ADDRESS"], threshold=0.5)
+    assert [s[-1] for s in found] == ([expected] if expected else [])
+
+
+def test_streets_as_an_open_repeat_finds_them():
+    rng = random.Random(3)
+    words = ["12", "7", "Main", "a", "St", "Oakst", "Road", "Apt", "Way,", "Dr.", "Unit 4b", "#3"]
+    ends = {p.name: p for p in PATTERNS if p.entity_type == "STREET_ADDRESS"}
+    from veilspark.plans.oracle import _OPEN
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        for name, p in ends.items():
+            mine = [m.span() for m in re.finditer(p.regex, text, re.I)]
+            assert mine == [m.span() for m in re.finditer(_OPEN[name], text, re.I)], text
+
+
+def test_compound_places_of_any_length(spark):
+    place = "Quito" + "-On-Ggg" * 9
+    assert [s[-1] for s in spans(spark, f"in {place} x", entity_types=["LOCATION"])] == [place]
+
+
+def test_context_is_five_words_of_any_length(spark):
+    for length in (90, 110, 5000):
+        text = "ssn " + "z" * length + " 456-78-9012"
+        assert [s[-1] for s in spans(spark, text, entity_types=["US_SSN"])] == ["456-78-9012"]
+    six = "ssn a b c d e 456-78-9012"
+    assert not spans(spark, six, entity_types=["US_SSN"])
+
+
+def test_terms_of_four_words(spark):
+    from veilspark.operators.gazetteer import gazetteer_spans
+
+    texts = spark.createDataFrame([(1, "the Isle Of Great Wight is")], "id int, text string")
+    terms = spark.createDataFrame([("isle of great wight", "LOCATION", 0.9)],
+                                  "term string, entity_type string, score double")
+    assert [r["text"] for r in gazetteer_spans(texts, terms, "id").collect()] == [
+        "Isle Of Great Wight"]
+
+
+def test_pins_keep_every_row_and_only_replace(spark):
+    from veilspark.plans.with_store import clean_with_store
+
+    texts = spark.createDataFrame(
+        [(None, "a@b.org"), (1, "c@d.org 10.0.0.1"), (1, "a@b.org 10.0.0.1"), (None, "x")],
+        "id int, text string")
+    config = CleanConfig(strategies={"IP_ADDRESS": ("redact", {})})
+    plain = clean_texts(texts, config).selectExpr("inline(substitutions)").distinct()
+    pins = plain.selectExpr("original_hash", "entity_type", "'PIN' as substitute")
+    one = sorted(r[0] for r in clean_with_store(texts, pins, config, literals=100).select(
+        "anonymized_text").collect())
+    two = sorted(r[0] for r in clean_with_store(texts, pins, config, literals=0).select(
+        "anonymized_text").collect())
+    assert one == two == ["PIN", "PIN [REDACTED]", "PIN [REDACTED]", "x"]

@@ -42,9 +42,9 @@ def test_json_fields(spark):
 def test_json_list_and_single_object(spark, tmp_path):
     (tmp_path / "list.json").write_text('[{"a": "x"}, {"a": "é"}]', encoding="utf-8")
     (tmp_path / "one.json").write_text('{"a": "z"}', encoding="utf-8")
-    assert read_records(spark, str(tmp_path / "list.json"), "a string").count() == 2
-    assert read_records(spark, str(tmp_path / "one.json"), "a string").first()["a"] == "z"
-    write_records(read_records(spark, str(tmp_path / "list.json"), "a string"),
+    assert read_records(spark, str(tmp_path / "list.json"), "a string", True).count() == 2
+    assert read_records(spark, str(tmp_path / "one.json"), "a string", True).first()["a"] == "z"
+    write_records(read_records(spark, str(tmp_path / "list.json"), "a string", True),
                   str(tmp_path / "out"))
     assert {r["a"] for r in read_records(spark, str(tmp_path / "out"), "a string", False)
             .collect()} == {"x", "é"}

@@ -76,12 +76,8 @@ CONTEXT_WORDS: dict[str, tuple[str, ...]] = {
 CONTEXT_BOOST = 0.35
 CONTEXT_FLOOR = 0.4
 CONTEXT_TOKENS = 5
-CONTEXT_CHARS = 100
 DEFAULT_THRESHOLD = 0.7
 
-# Street names: at most eight words before the suffix. An open repeat overflows
-# the stack of a Java regex on long runs of plain words.
-_STREET_BODY = r"\b\d{1,5}\s+[A-Z]{2,}(?:\s+[A-Z]{2,}){0,7}\s*"
 _SUFFIX = (
     r"Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?"
     r"|Way|Court|Ct\.?|Place|Pl\.?"
@@ -122,12 +118,26 @@ class Pattern:
         return min(1.0, self.score + CONTEXT_BOOST) if self.context else self.score
 
 
+def _street(end: str, again: bool = True) -> str:
+    """A number, any number of words, and a word that is or ends in a street suffix.
+
+    Plain words are taken one by one without giving back, up to the next word with the
+    suffix: a possessive repeat is a loop in Java and needs no stack, however long the
+    run of words. The last suffix of a run ends the address; a unit ends it at once.
+    """
+    last = rf"(?:[A-Z]{{2,}})?{end}"
+    plain = rf"(?!{last})[A-Z]{{2,}}+(?=\s)"
+    block = rf"(?:{plain}\s+)*+{last}"
+    more = rf"(?:\s+{block})*+" if again else ""
+    return rf"\b\d{{1,5}}\s+(?:[A-Z]{{2,}}+\s+{block}{more}|[A-Z]{{2,}}{end})"
+
+
 PATTERNS: tuple[Pattern, ...] = (
     Pattern("STREET_ADDRESS", "street_address_full",
-            _STREET_BODY + f"(?:{_SUFFIX}{_SUFFIX_MORE})" + r"\b", 0.6),
+            _street(f"(?:{_SUFFIX}{_SUFFIX_MORE})" + r"\b"), 0.6),
     Pattern("STREET_ADDRESS", "street_address_with_unit",
-            _STREET_BODY + f"(?:{_SUFFIX})" + r"\s*,?\s*(?:Apt\.?|Suite|Ste\.?|Unit|#)\s*\d+[A-Z]?\b",
-            0.7),
+            _street(f"(?:{_SUFFIX})" + r"\s*,?\s*(?:Apt\.?|Suite|Ste\.?|Unit|#)\s*\d+[A-Z]?\b",
+                    again=False), 0.7),
     Pattern("IP_ADDRESS", "ipv4_cidr",
             r"\b(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?:/(?:3[0-2]|[12]?[0-9]))?\b", 0.8,
             must_contain="."),
@@ -142,7 +152,7 @@ PATTERNS: tuple[Pattern, ...] = (
             must_contain="-"),
     Pattern("DATE_TIME", "date_long", rf"\b(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b", 0.5),
     Pattern("LOCATION", "compound_location_hyphen",
-            r"\b[A-Z][a-z]+(?:-(?:On|Upon|By|In|Under|Over|Le|La|The|Of|At|Near)-[A-Z][a-z]+){1,5}\b",
+            r"\b[A-Z][a-z]+(?:-(?:On|Upon|By|In|Under|Over|Le|La|The|Of|At|Near)-[A-Z][a-z]+\b)++",
             0.9, ignore_case=False, must_contain="-", has_digit=False),
     Pattern("LOCATION", "compound_location_spaced",
             r"\b[A-Z][a-z]+\s+(?:upon|on|by|in|under|over|near)\s+[A-Z][a-z]+\b",

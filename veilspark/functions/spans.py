@@ -13,7 +13,6 @@ from .arrays import chunks, let, piece, running_max, running_sum
 from .checks import luhn_ok, mod97_ok
 from .patterns import (
     CONTEXT_BOOST,
-    CONTEXT_CHARS,
     CONTEXT_FLOOR,
     CONTEXT_TOKENS,
     CONTEXT_WORDS,
@@ -26,6 +25,7 @@ SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 FOUND = (
     "struct<start:int,neg_end:int,rank:int,entity_type:string,score:double,text:string>"
 )
+_STRETCHES = (100, 4000)  # characters before a span, tried in turn before the whole text
 _MARK = "\x01"
 _HIT = "struct<pattern:int,values:array<string>,gaps:array<string>>"
 
@@ -87,12 +87,27 @@ def _spans_of_hits(hit: Column, labels: Column) -> Column:
 
 
 def context_window(parts: Column, start: Column) -> Column:
-    """The last words before a span, lower case, one space between."""
-    before = piece(parts, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start)
-    words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
+    """The last words before a span, lower case, one space between.
+
+    A short stretch is looked at first. If it does not hold one word more than needed,
+    so that the last ones are surely whole, a longer one is, and then all of the text.
+    """
+
+    def words(length: int | None) -> Column:
+        low = F.lit(0) if length is None else F.greatest(start - length, F.lit(0))
+        return F.filter(F.split(piece(parts, low, start), r"\s+"), lambda w: w != "")
+
+    def enough(lengths: tuple[int, ...]) -> Column:
+        if not lengths:
+            return words(None)
+        return let(words(lengths[0]), lambda w: F.when(
+            (F.size(w) > CONTEXT_TOKENS) | (start <= lengths[0]), w).otherwise(
+            enough(lengths[1:])))
+
     return F.lower(F.array_join(
-        let(words, lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_TOKENS + 1, F.lit(1)),
-                                     F.lit(CONTEXT_TOKENS))), " "))
+        let(enough(_STRETCHES),
+            lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_TOKENS + 1, F.lit(1)),
+                              F.lit(CONTEXT_TOKENS))), " "))
 
 
 def has_context(window: Column, entity_type: Column, types: set[str]) -> Column:

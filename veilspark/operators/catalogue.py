@@ -8,16 +8,12 @@ from ..functions.patterns import ENTITY_TYPES, TYPE_RANK
 from ..functions.pools import LOCALES
 
 
-def entity_types(texts: DataFrame) -> DataFrame:
-    """Supported types with description and rank, beside the number of texts at hand."""
+def entity_types(spans: DataFrame) -> DataFrame:
+    """Supported types with description and rank, beside the spans found of each."""
     rows = [(t, d, TYPE_RANK[t]) for t, d in ENTITY_TYPES.items()]
-    kinds = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("name"), F.lit(d).alias("description"), F.lit(r).alias("rank"))
-        for t, d, r in rows
-    ]))
-    return texts.agg(F.count("*").alias("texts")).select("texts", kinds.alias("k")).select(
-        "k.name", "k.description", "k.rank", "texts"
-    )
+    listed = spans.sparkSession.createDataFrame(rows, "name string, description string, rank int")
+    found = spans.groupBy(F.col("entity_type").alias("name")).agg(F.count("*").alias("hits"))
+    return listed.join(found, "name", "left").fillna(0, ["hits"])
 
 
 def locales(customers: DataFrame) -> DataFrame:

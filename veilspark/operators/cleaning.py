@@ -181,7 +181,10 @@ def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None
         key = mapping_key(s["text"], s["entity_type"], config.secret)
 
         def built(k: Column) -> Column:
-            out = made if pinned is None else F.coalesce(F.try_element_at(pinned, k), made)
+            # a pin replaces a substitute, not a mask, a hash or an empty place
+            out = made if pinned is None else F.when(
+                s["entity_type"].isin(*config.replaced_types),
+                F.coalesce(F.try_element_at(pinned, k), made)).otherwise(made)
             return F.struct(
                 s["entity_type"].alias("entity_type"),
                 s["start"].alias("start"),
@@ -298,12 +301,3 @@ def segments(text: Column, substitutions: Column) -> Column:
 
     return let(substitutions, lambda s: let(chunks(text), lambda parts: cut(s, parts)))
 
-
-def check_texts(texts: DataFrame, limit: int, text: str = "text") -> DataFrame:
-    """Refuse texts above the limit when they are read, without a second pass."""
-    return texts.withColumn(
-        text,
-        F.when(F.length(text) > limit,
-               F.raise_error(F.lit(f"text longer than {limit} characters")).cast("string"))
-        .otherwise(F.col(text)),
-    )

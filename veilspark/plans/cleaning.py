@@ -244,13 +244,13 @@ def script_detect(spark, folder):
 
 # The dictionary: how many customers of a nation carry a part.
 _DICTIONARY = f"""names as ({NAMES.sql}), words as (select *, unnest(regexp_split_to_array(trim(name), '\\s+')) as part,
- unnest(range(1, len(regexp_split_to_array(trim(name), '\\s+')) + 1)) as i from names where id % 7 <> 3 or nation % 2 = 0),
+ unnest(range(1, len(regexp_split_to_array(trim(name), '\\s+')) + 1)) as i from names),
 dict as (select part, case when i = 1 then 'first' else 'last' end as kind, 'N' || lpad(cast(nation as string), 2, '0') as country,
  count(*) as score from words where part <> '' group by 1, 2, 3)"""
 
 
 def _dictionary(spark, folder) -> DataFrame:
-    names = NAMES.frame(spark, folder).filter("id % 7 <> 3 or nation % 2 = 0")
+    names = NAMES.frame(spark, folder)
     return (
         names.select("nation", F.posexplode(F.split(F.trim("name"), r"\s+")).alias("i", "part"))
         .filter("part <> ''")
@@ -284,7 +284,7 @@ def name_pool_top(spark, folder):
 def _pool(where: str) -> str:
     return (f"select country, list(part order by place) filter (where kind = 'first') as f, "
             f"list(part order by place) filter (where kind = 'last') as l "
-            f"from ({_TOP.format(where, 20)}) group by 1")
+            f"from ({_TOP.format(where, 100)}) group by 1")
 
 
 @query("substitutes_person_origin", f"""with {_ORIGIN}, every as ({_pool('true')}), latin as ({_pool(_LATIN.format('part'))}),
@@ -295,7 +295,7 @@ pools as (select p.*, case when is_latin then latin.f else every.f end as f, cas
 select id, country, case when len(f) > 0 and len(l) > 0 then f[{o.u('h', 0)} % len(f) + 1] || ' ' || l[{o.u('h', 1)} % len(l) + 1]
  else {o.substitutes('name', 'h')['PERSON']} end as substitute from pools""")
 def substitutes_person_origin(spark, folder):
-    return person_substitutes(NAMES.frame(spark, folder), _dictionary(spark, folder), "id", n=20)
+    return person_substitutes(NAMES.frame(spark, folder), _dictionary(spark, folder), "id", n=100)
 
 
 # Strategies, over every resolved value of the messages.

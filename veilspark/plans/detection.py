@@ -124,11 +124,13 @@ def types_per_document(spark, folder):
     ).filter(F.col("types") != "")
 
 
-@query("entity_types", "select * from (values " + ", ".join(
+@query("entity_types", f"with src as ({DOCUMENTS_SQL}),\n{o.detections('src')}\n"
+       "select t.*, coalesce(hits, 0) as hits from (values " + ", ".join(
     f"({o.q(t)}, {o.q(d)}, {TYPE_RANK[t]})" for t, d in ENTITY_TYPES.items())
-    + ") t(name, description, rank) cross join (select count(*) as texts from documents) n")
+    + """) t(name, description, rank) left join (select entity_type, count(*) as hits
+ from det group by 1) n on entity_type = name""")
 def entity_types_query(spark, folder):
-    return entity_types(_documents(spark, folder))
+    return entity_types(spans_of(_documents(spark, folder)))
 
 
 @query("locales", "select locale, description, customers from (values " + ", ".join(

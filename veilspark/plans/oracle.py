@@ -27,6 +27,19 @@ from ..functions.pools import (
     country_of,
 )
 
+# Written out again with open repeats, which the other engine follows without a stack.
+_STREET = r"\b\d{1,5}\s+[A-Z]{2,}(?:\s+[A-Z]{2,})*\s*"
+_SHORT = (r"Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Boulevard|Blvd\.?|Drive|Dr\.?|Lane|Ln\.?"
+          r"|Way|Court|Ct\.?|Place|Pl\.?")
+_OPEN = {
+    "street_address_full": _STREET + rf"(?:{_SHORT}|Circle|Cir\.?|Trail|Trl\.?|Parkway"
+    r"|Pkwy\.?|Highway|Hwy\.?)\b",
+    "street_address_with_unit": _STREET + rf"(?:{_SHORT})"
+    r"\s*,?\s*(?:Apt\.?|Suite|Ste\.?|Unit|#)\s*\d+[A-Z]?\b",
+    "compound_location_hyphen": r"\b[A-Z][a-z]+(?:-(?:On|Upon|By|In|Under|Over|Le|La|The|Of|At"
+    r"|Near)-[A-Z][a-z]+)+\b",
+}
+
 # Patterns with look-ahead, which the other engine lacks: plain digits, then a test.
 _PLAIN = {
     "ssn_dashes": (r"\b\d{3}-\d{2}-\d{4}\b", "-"),
@@ -43,7 +56,7 @@ def lst(items) -> str:
 
 
 def _regex(p: Pattern) -> str:
-    body = _PLAIN[p.name][0] if p.name in _PLAIN else p.regex
+    body = _PLAIN[p.name][0] if p.name in _PLAIN else _OPEN.get(p.name, p.regex)
     return q(("(?i)" if p.ignore_case else "") + body)
 
 
@@ -103,7 +116,7 @@ def detections(src: str, types=None, threshold: float = DEFAULT_THRESHOLD,
         helped = f"case entity_type {cases} else false end"
     window = (
         "lower(array_to_string(list_reverse(list_reverse(list_filter(regexp_split_to_array("
-        "substring(text, greatest(start - 100, 0) + 1, least(start, 100)), '\\s+'), "
+        "substring(text, 1, start), '\\s+'), "
         "lambda x: x <> ''))[1:5]), ' '))"
     )
     return f"""raw as ({' union all '.join(parts)}),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.patterns import AUDIT_PATTERNS
 from ..operators import compare, records
 from ..operators.cleaning import clean_texts
-from ..session import shared_folder
+from ..session import fresh_path
 from ..sources import files
 from ..sources.derived import MESSAGES, SIGNINS, table
 from . import oracle as o
@@ -151,8 +151,7 @@ def windowed_scan(spark, folder):
 
 
 def _folder(spark, name: str) -> str:
-    run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark).rstrip('/')}/veilspark/{run}/{name}"
+    return fresh_path(spark, name)
 
 
 @query("records_load", f"with {REC} select * exclude (TimeGenerated), {_ISO.format('TimeGenerated')} as TimeGenerated from rec")
@@ -174,13 +173,13 @@ def texts_csv(spark, folder):
                             escape="\\", inferSchema="false")
 
 
-# Comparison. The clean side lacks the entries with a very short duration.
+# Comparison. For the pairs the clean side lacks the entries with a very short duration.
 _CLEAN_LOST = "DurationMs > 5"
 
 
 def _sides(spark, folder) -> tuple[DataFrame, DataFrame]:
     original = records.serializable(_records(spark, folder))
-    return original, records.clean_records(original).filter(_CLEAN_LOST)
+    return original, records.clean_records(original)
 
 
 def _values(spark, folder) -> DataFrame:
@@ -193,7 +192,7 @@ _POS = " union all ".join(
     f"select entry, DurationMs, {i} as slot, {o.q(f)} as path, {f} as value from rec where {f} <> ''"
     for i, f in enumerate(records.FIELDS))
 PAIRS = WORDS + f""", flat as (select *, row_number() over (partition by entry order by slot) - 1 as position from ({_POS})),
-pairs as (select entry, position, path, value as original, coalesce(cleaned, value) as cleaned from flat left join words using (value) where {_CLEAN_LOST})
+pairs as (select entry, position, path, value as original, coalesce(cleaned, value) as cleaned from flat left join words using (value))
 """
 
 

@@ -31,11 +31,11 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str
     return rows.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
 
 
-def read_records(spark: SparkSession, path: str, schema: str, multiline: bool = True
+def read_records(spark: SparkSession, path: str, schema: str, multiline: bool = False
                  ) -> DataFrame:
-    """JSON records by a pinned schema: a list of objects, or one object as a list of one.
+    """JSON records by a pinned schema, one object per line, split between tasks.
 
-    A file of one object per line is split between tasks; pass ``multiline=False``.
+    ``multiline=True`` reads a file that is one list of objects, in one task.
     """
     return spark.read.schema(schema).option("multiLine", multiline).option(
         "mode", "FAILFAST").json(path)
