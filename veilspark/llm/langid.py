@@ -90,11 +90,12 @@ class ContextTrees:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, probability) of each text; ties go to the first name."""
-        cut = [words_of(t) if any(map(str.isalpha, t)) else [] for t in texts]
+        cut = [words_of(t) if self.languages and any(map(str.isalpha, t)) else []
+               for t in texts]
         table = self.words.table({w for words in cut for w in words})
         out = []
         for words in cut:
-            if not words or not self.languages:
+            if not words:
                 out.append((UNKNOWN, 0.0))
                 continue
             total = np.frombuffer(b"".join(map(table.__getitem__, words))).reshape(
