@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import gapless, map_rows, stored
 from .words import ODD, Encodings, held
 
-MARKS = ".,"
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 Line = tuple[tuple[int, ...], int]  # lengths of one sequence, number of such sequences
 
 
@@ -174,26 +172,13 @@ def _load(path: str):
     t.no_padding()
     t.no_truncation()
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 20_000):
-            for e in t.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False):
+    def encode(words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 20_000):
+            for e in t.encode_batch_fast(words[i:i + 20_000], add_special_tokens=False):
                 ids = e.ids
                 yield struct.pack(f"<{len(ids)}I", *ids)
 
-    marks = dict(zip(MARKS, encode(list(MARKS)), strict=True))
-
-    def encode_words(words: list[str]) -> Iterator[bytes]:
-        # a full stop or comma after a letter is a token of its own
-        cores = [w[:-1] if w[-1] in marks and len(w) > 1 and w[-2] in LETTERS else w
-                 for w in words]
-        known = {c: ids for c in set(cores) if (ids := kept.known(c)) is not None}
-        new = list(set(cores) - known.keys())
-        known.update(zip(new, encode(new), strict=True))
-        for w, c in zip(words, cores, strict=True):
-            yield known[c] + marks[w[-1]] if len(c) < len(w) else known[c]
-
-    kept = Encodings(encode_words, limit=300_000)
-    return encode, kept
+    return encode, Encodings(encode, limit=400_000)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:

@@ -40,11 +40,6 @@ class Encodings:
         self.young: dict = {}
         self.old: dict = {}
 
-    def known(self, piece):
-        """What is held for a piece, or None."""
-        value = self.young.get(piece)
-        return self.old.get(piece) if value is None else value
-
     def table(self, pieces: set) -> dict:
         """A mapping that holds every one of ``pieces``."""
         if len(self.young) > self.limit:
