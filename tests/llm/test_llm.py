@@ -271,6 +271,23 @@ def test_pii_field_learns_and_adds(spark):
     assert pii.find(empty(df), pii.fit(empty(df))).count() == 0
 
 
+def test_pii_blocks_give_the_same_shares():
+    rng = np.random.default_rng(3)
+    bits = ["a", "@", ".", "1", "25", " ", "-", "+", "(", "4111", "b@c.de", "1.2.3.4", "é", "\n"]
+    for _ in range(60):
+        model = pii.SegmentField(rng.normal(size=(pii.FEATURES, 4)) * 3)
+        text = "".join(rng.choice(bits, rng.integers(1, 60)))
+        whole = pii.Stretch.of(text, 0, len(text))
+        shares, _ = model.shares(whole)
+        want = sorted(
+            (pii.KINDS[int(shares[r].argmax())], whole.tokens[i][0], whole.tokens[j - 1][1])
+            for j, ends in enumerate(whole.ends) for i, r in ends if shares[r].max() >= pii.SURE)
+        for block in (1, 3, 512):
+            assert sorted(model.sure(text, 0, len(text), block)) == want
+    # many base spans and stretches in one text: linear
+    assert len(pii.all_spans("a b@c.de 7 " * 20_000, pii.SegmentField())) == 20_000
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>no</title><script>var t='</p>';</script></head><body>"
         "<header>Site</header><nav><ul><li><a href=/a>Menu</a></li></ul></nav>"
         "<div class='ad'>Buy!</div><div class='post main{n}'><h1>Title &amp; more</h1>"
@@ -288,6 +305,12 @@ def test_html(spark):
         assert got[i] == f"Title & more Some bold text, with words {i}. Next line One Two"
     assert got[30] == got[None] == ""
     assert html.extract(empty(df)).count() == 0
+    page = ("<article><p>one</p><button>Like</button><p>two</p><svg><path/></svg><p>three</p>"
+            "<ul class='menu'><li>x<ul><li>y</ul></ul><p class=notice>no<p>four</p></article>")
+    assert html.read(html.parse(page), None) == "one two three four"
+    for slow in ("<a " + '"' * 300, "<div>" * 20_000 + "x" + "</form>" * 20_000,
+                 "<div class=p>t</div>" * 20_000):
+        html.read(html.parse(slow), None)
     for broken in ("<", "<div", "<div class='x", "</", "<!--", "<script>", "a < b", "<p" * 50):
         html.read(html.parse(broken), None)
 

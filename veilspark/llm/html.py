@@ -8,6 +8,7 @@ has no such container, or no host, is read by its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -32,6 +33,8 @@ BLOCKS = CONTAINERS | frozenset(
 ASIDE = frozenset(
     "nav footer aside form head dialog menu button select template svg canvas object audio "
     "video map fieldset".split())
+#: Blocks that become containers only if their names say that they are no article text.
+NAMED = frozenset("p ul ol dl table figure".split())
 ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu "
     "menubar toolbar".split())
@@ -41,15 +44,21 @@ ASIDE_NAMES = re.compile(
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|newsletter|"
     r"subscribe|subscription|share|sharing|social|related|recommend\w*|breadcrumbs?|"
     r"pagination|pager|login|signup|search|widgets?|toolbar|skip)(?:[-_ ]|$)", re.IGNORECASE)
+# A tag with its quotes in pairs, without giving back; else one that ends at the next ">".
 _TAG = re.compile(
-    r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>")
+    r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ODD_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
 _ATTRIBUTE = re.compile(
     r"(?:^|\s)(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
 @dataclass
 class Node:
-    """A container: where it hangs, how it is called, what it holds."""
+    """A container: where it hangs, how it is called, what it holds.
+
+    ``path`` stands for the tags and classes from the root down: a digest of the path
+    above and the own name, so that deep nesting costs no more than flat.
+    """
 
     parent: int
     tag: str
@@ -71,6 +80,7 @@ def parse(source: str) -> Page:
     """The containers of a page and its blocks of text, in page order. Never fails."""
     page = Page([Node(-1, "", "", False, False)])
     stack = [0]
+    opened: Counter = Counter()  # tags on the stack
     text: list[str] = []
     links = in_link = 0
 
@@ -83,6 +93,11 @@ def parse(source: str) -> Page:
         text.clear()
         links = 0
 
+    def leave(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[page.nodes[node].tag] -= 1
+        del stack[depth:]
+
     at, end = 0, len(source)
     while at < end:
         lt = source.find("<", at)
@@ -102,7 +117,7 @@ def parse(source: str) -> Page:
             stop = source.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _TAG.match(source, lt)
+        m = _TAG.match(source, lt) or _ODD_TAG.match(source, lt)
         if m is None:
             text.append("<")
             at = lt + 1
@@ -110,14 +125,14 @@ def parse(source: str) -> Page:
         at = m.end()
         tag = m.group(2).lower()
         if m.group(1):  # an end tag
-            if tag in BLOCKS:
+            if tag in BLOCKS or opened[tag] > 0:
                 close_block()
                 in_link = 0
-                if tag in CONTAINERS:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if page.nodes[stack[depth]].tag == tag:
-                            del stack[depth:]
-                            break
+                if opened[tag] > 0:
+                    depth = len(stack) - 1
+                    while page.nodes[stack[depth]].tag != tag:
+                        depth -= 1
+                    leave(depth)
             elif tag == "a":
                 in_link = 0
             continue
@@ -128,14 +143,22 @@ def parse(source: str) -> Page:
         if tag in BLOCKS:
             close_block()
             in_link = 0
+            if page.nodes[stack[-1]].tag == "p":  # a block ends an open paragraph
+                leave(len(stack) - 1)
         elif tag == "a":
             in_link = 1
-        if (tag in CONTAINERS or tag in ASIDE) and tag not in VOID and not m.group(4):
+        if tag in VOID or m.group(3).endswith("/"):
+            continue
+        if tag in CONTAINERS or tag in ASIDE or (tag in NAMED and (
+                opened[tag] > 0 or _named_aside(_names(m.group(3))))):
             close_block()
             if tag == "body":  # ends the head, whatever is left open there
-                while len(stack) > 1 and page.nodes[stack[-1]].tag != "html":
-                    stack.pop()
+                depth = len(stack)
+                while depth > 1 and page.nodes[stack[depth - 1]].tag != "html":
+                    depth -= 1
+                leave(depth)
             stack.append(_open(page, stack[-1], tag, m.group(3)))
+            opened[tag] += 1
     close_block()
     for i in range(len(page.nodes) - 1, -1, -1):
         node = page.nodes[i]
@@ -146,19 +169,28 @@ def parse(source: str) -> Page:
     return page
 
 
+def _names(attributes: str) -> dict[str, str]:
+    named = {"class": "", "id": "", "role": ""}
+    for m in _ATTRIBUTE.finditer(attributes):
+        named[m.group(1).lower()] = html.unescape(m.group(2) or m.group(3) or m.group(4) or "")
+    return named
+
+
+def _named_aside(named: dict[str, str]) -> bool:
+    return named["role"].lower() in ASIDE_ROLES or bool(
+        ASIDE_NAMES.search(f"{named['class']} {named['id']}"))
+
+
 def _open(page: Page, parent: int, tag: str, attributes: str) -> int:
     above = page.nodes[parent]
-    named = {"class": "", "id": "", "role": ""}
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            named[m.group(1).lower()] = html.unescape(m.group(2) or m.group(3) or m.group(4) or "")
+    named = _names(attributes)
     inside = above.inside or tag in ("article", "main")
-    names = f"{named['class']} {named['id']}"
-    aside = above.aside or tag in ASIDE or named["role"].lower() in ASIDE_ROLES or (
-        tag == "header" and not above.inside) or (
-        tag not in ("html", "body", "main", "article") and bool(ASIDE_NAMES.search(names)))
+    aside = above.aside or tag in ASIDE or (tag == "header" and not above.inside) or (
+        named["role"].lower() in ASIDE_ROLES) or (
+        tag not in ("html", "body", "main", "article") and _named_aside(named))
     classes = sorted({re.sub(r"[0-9]+", "", c.lower()) for c in named["class"].split()} - {""})
-    path = f"{above.path}/{'.'.join([tag, *classes])}"
+    name = f"{above.path}/{'.'.join([tag, *classes])}"
+    path = hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=16).hexdigest()
     page.nodes.append(Node(parent, tag, path, aside, inside))
     return len(page.nodes) - 1
 
@@ -193,9 +225,15 @@ def read(page: Page, path: str | None) -> str:
         if own is None:
             return ""
         roots = [own]
-    spans = [(r, page.nodes[r].last) for r in roots]
-    return " ".join(words for at, words in page.blocks if not page.nodes[at].aside and any(
-        a <= at <= b for a, b in spans))
+    wanted = bytearray(len(page.nodes))
+    done = 0
+    for r in roots:  # in page order; one inside another is covered by it
+        if page.nodes[r].last >= done:
+            first = max(r, done)
+            done = page.nodes[r].last + 1
+            wanted[first:done] = b"\1" * (done - first)
+    return " ".join(words for at, words in page.blocks
+                    if wanted[at] and not page.nodes[at].aside)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
