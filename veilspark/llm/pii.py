@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,7 @@ from .common import map_rows
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16  # tokens of a segment
 SURE = 0.95
+BLOCK = 512  # tokens whose segments are held at a time
 #: Texts that the field is fitted on, and stretches of them, at most.
 SAMPLE_TEXTS = 4000
 SAMPLE_STRETCHES = 400
@@ -34,6 +36,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_LOG_SURE = math.log(SURE) - 1e-9
 _DIGITS = re.compile("[^0-9]+")
 _TRIGGER = re.compile("[0-9@]")
 _CHUNK = re.compile(r"\S+")
@@ -204,21 +207,84 @@ class SegmentField:
             self.weights += rate * slope / np.sqrt(squares)
         return self
 
+    def sure(self, text: str, start: int, end: int, block: int = BLOCK
+             ) -> Iterator[tuple[str, int, int]]:
+        """Segments of text[start:end] with a share of at least ``SURE``, by their start.
+
+        The same shares as :meth:`shares`, but only the segments that start in ``block``
+        tokens are held at a time: the program runs forward over the blocks, then back.
+        """
+        cuts = array("q", [start])
+        cuts.extend(m.end() for m in _TOKEN.finditer(text, start, end))
+        n = len(cuts) - 1
+        forward, backward = array("d", [0.0]) * (n + 1), array("d", [0.0]) * (n + 1)
+        arriving: list[list[float]] = [[] for _ in range(LONGEST + 1)]  # by token, in a ring
+        held = None
+        for low in range(0, n, block):
+            held = low, self._segments(text, cuts, low, min(n, low + block))
+            where, ends, _, whole = held[1]
+            at = 0
+            for i in range(low, min(n, low + block)):
+                if i:
+                    slot = arriving[i % (LONGEST + 1)]
+                    forward[i] = _log_sum([forward[i - 1], *slot])
+                    slot.clear()
+                while at < len(where) and where[at] == i:
+                    arriving[ends[at] % (LONGEST + 1)].append(forward[i] + whole[at])
+                    at += 1
+        total = forward[n] = _log_sum([forward[n - 1], *arriving[n % (LONGEST + 1)]])
+        found = []
+        for low in range((n - 1) // block * block, -1, -block):
+            where, ends, scores, whole = held[1] if held[0] == low else self._segments(
+                text, cuts, low, min(n, low + block))
+            at = len(where) - 1
+            for i in range(min(n, low + block) - 1, -1 + low, -1):
+                parts = [backward[i + 1]]
+                while at >= 0 and where[at] == i:
+                    j = ends[at]
+                    parts.append(backward[j] + whole[at])
+                    if forward[i] + whole[at] + backward[j] - total >= _LOG_SURE:
+                        shares = np.exp(scores[at] + (forward[i] + backward[j] - total))
+                        kind = int(shares.argmax())
+                        if shares[kind] >= SURE:
+                            found.append((KINDS[kind], cuts[i], cuts[j]))
+                    at -= 1
+                backward[i] = _log_sum(parts)
+        return reversed(found)
+
+    def _segments(self, text: str, cuts: array, low: int, high: int):
+        """First token, end, scores and log of summed scores of segments from [low, high)."""
+        where, ends, rows = [], [], []
+        n = len(cuts) - 1
+        for i in range(low, high):
+            if text[cuts[i]].isspace():
+                continue
+            some = False
+            for j in range(i, min(n, i + LONGEST)):
+                token = text[cuts[j]:cuts[j + 1]]
+                some = some or bool(_TRIGGER.search(token))
+                if some and not token[0].isspace():
+                    where.append(i)
+                    ends.append(j + 1)
+                    rows.append(features(text, cuts[i], cuts[j + 1]))
+        scores = np.array(rows).reshape(-1, FEATURES) @ self.weights
+        return where, ends, scores, np.logaddexp.reduce(scores, axis=1).tolist()
+
     def more(self, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-        """Sure segments of the text outside the sorted spans ``taken``."""
+        """Sure segments of the text outside the spans ``taken``, sorted by their start."""
+        near = 0
         for start, end in stretches(text):
             at = start
-            for a, b in [*((a, b) for a, b in taken if a < end and b > start), (end, end)]:
+            while near < len(taken) and taken[near][0] < end:
+                a, b = taken[near]
                 if at < a and _TRIGGER.search(text, at, a):
-                    stretch = Stretch.of(text, at, a)
-                    shares, _ = self.shares(stretch)
-                    for j, ends in enumerate(stretch.ends):
-                        for i, r in ends:
-                            kind = int(shares[r].argmax())
-                            if shares[r, kind] >= SURE:
-                                yield (KINDS[kind], stretch.tokens[i][0],
-                                       stretch.tokens[j - 1][1])
-                at = max(at, b)
+                    yield from self.sure(text, at, a)
+                at = max(at, min(b, end))
+                if b > end:  # reaches over the stretch: the next one meets it too
+                    break
+                near += 1
+            if at < end and _TRIGGER.search(text, at, end):
+                yield from self.sure(text, at, end)
 
 
 def _log_sum(values: list[float]) -> float:
