@@ -45,6 +45,13 @@ def test_sample_text(spark):
     ("date of birth: March 4, 1980", "DATE_TIME", True), ("256.1.1.1", "IP_ADDRESS", False),
     ("see https://a.example/x.", "URL", True), ("ssn 123456789", "US_SSN", False),
     ("é192.168.1.1", "IP_ADDRESS", False),
+    ("from 2001:0db8:85a3:0000:0000:8a2e:0370:7334.", "IP_ADDRESS", True),
+    ("from 2001:DB8::1/64", "IP_ADDRESS", True), ("net fd00:1::/48", "IP_ADDRESS", True),
+    ("fe80::1:2 up", "IP_ADDRESS", True), ("std::vector ad::be", "IP_ADDRESS", False),
+    ("00:1a:2b:3c:4d:5e at 12:30:45", "IP_ADDRESS", False),
+    ("+44 20 7946 0958", "PHONE_NUMBER", True), ("+49 30 1234567", "PHONE_NUMBER", True),
+    ("+358 9 1234567", "PHONE_NUMBER", True), ("+1 (555) 987-6543", "PHONE_NUMBER", True),
+    ("+4512", "PHONE_NUMBER", False), ("+1.5", "PHONE_NUMBER", False),
 ])
 def test_hits_and_near_misses(spark, text, kind, hit):
     assert bool(spans(spark, text, entity_types=[kind])) is hit

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from veilspark.functions.ip import is_private
 from veilspark.functions.keys import mapping_key
 from veilspark.functions.patterns import ENTITY_TYPES
+from veilspark.functions.pools import LOCALES
 from veilspark.functions.strategies import STRATEGIES, apply_strategy
 from veilspark.functions.substitutes import substitute
 from veilspark.operators import mapping
-from veilspark.operators.cleaning import CleanConfig, clean_texts
+from veilspark.operators.cleaning import CleanConfig, clean_texts, detect
 from veilspark.operators.compare import leaks
 from veilspark.operators.skew import keyed_join
 from veilspark.plans.with_store import clean_with_store
@@ -81,6 +82,49 @@ def test_substitutes_keep_class_and_prefix(spark):
     assert rows.filter(is_private(F.lit("010.1.2.3"))).count() == 0
 
 
+def test_version_six_keeps_class_and_prefix(spark):
+    ips = ["2a00:1450:4001::8a", "2001:db8:85a3:1:2:8a2e:370:7334", "fd12:3456::1/64", "fe80::1",
+           "2600::/32", "2600:1::/48", "2600:1:2::/64", "2600::/20", "fd00:1::/48", "fc00::/7",
+           "fd00:1::/40", "FE80::/64", "2600:1:2:3::/128", "2000::/3"]
+    rows = spark.createDataFrame([(i,) for i in ips], "ip string")
+    kind = F.lit("IP_ADDRESS")
+    local = [ipaddress.ip_network(n) for n in ("fc00::/7", "fe80::/10")]
+    inside = lambda a: any(ipaddress.ip_address(a) in n for n in local)
+    for ip, s in rows.select("ip", substitute(F.col("ip"), kind, mapping_key(F.col("ip"), kind))
+                             ).collect():
+        assert inside(ip.split("/")[0]) == inside(s.split("/")[0]), (ip, s)
+        assert ip.partition("/")[2] == s.partition("/")[2]
+        assert (ip != s) or ip in ("fc00::/7", "2000::/3")  # the only ones of their class
+        if "::/" in ip:
+            ipaddress.ip_network(s, strict=True)
+
+
+def test_dictionary_spans_in_a_batch(spark, tmp_path):
+    terms = spark.createDataFrame([("Ada Lovelace", "PERSON", 0.9)],
+                                  "term string, entity_type string, score double")
+    rows = spark.createDataFrame(
+        [(None, "Ada Lovelace wrote"), (1, "ada lovelace, 10.0.0.1"), (1, "nobody"), (2, None)],
+        "id bigint, text string").withColumn("sent", F.lit("2024-01-01").cast("timestamp_ntz"))
+    store = MappingStore(spark, str(tmp_path / "store"))
+    out = clean_batch(rows, "a", store, str(tmp_path / "out"), terms=terms)
+    texts = [r["anonymized_text"] for r in out.collect()]
+    assert len(texts) == 4 and texts.count(None) == 1 and "nobody" in texts
+    assert not any("lovelace" in (t or "").lower() or "10.0.0.1" in (t or "") for t in texts)
+    assert {r["entity_type"] for r in store.mappings().collect()} == {"PERSON", "IP_ADDRESS"}
+    assert set(out.columns) == {"id", "sent", "input_length", "anonymized_text", "substitutions",
+                                "entities_detected", "entities_anonymized"}
+
+
+@pytest.mark.parametrize("locale", sorted(LOCALES))
+def test_phones_made_here_are_found(spark, locale):
+    rows = spark.createDataFrame([(f"v{i}",) for i in range(40)], "v string")
+    kind = F.lit("PHONE_NUMBER")
+    made = rows.select(F.concat(F.lit("call "), substitute(
+        F.col("v"), kind, mapping_key(F.col("v"), kind), locale)).alias("text"))
+    found = detect(made, CleanConfig(["PHONE_NUMBER"])).collect()
+    assert [r["text"] for r in found if not r["detections"]] == []
+
+
 def test_every_type_has_a_substitute_and_a_fixed_one(spark):
     rows = spark.createDataFrame([(t, "some value") for t in [*ENTITY_TYPES, "NEW"]],
                                  "t string, v string")

@@ -93,6 +93,9 @@ CARD = (
 )
 
 
+# --- end of fixed values ----------------------------------------------------
+
+
 @dataclass(frozen=True)
 class Pattern:
     entity_type: str
@@ -132,6 +135,21 @@ def _street(end: str, again: bool = True) -> str:
     return rf"\b\d{{1,5}}\s+(?:[A-Z]{{2,}}+\s+{block}{more}|[A-Z]{{2,}}{end})"
 
 
+def _ipv6() -> str:
+    """All eight groups, or fewer around one ``::``, or a network with its prefix.
+
+    Addresses in use start with a digit or with fc to ff, which tells them from names
+    joined by colons.
+    """
+    first, group = "(?:[0-9][0-9a-f]{0,3}|f[c-f][0-9a-f]{2})", "[0-9a-f]{1,4}"
+    forms = [f"{first}(?::{group}){{7}}"]
+    forms += [f"{first}(?::{group}){{{n}}}:(?::{group}){{1,{6 - n}}}" for n in range(6)]
+    prefix = "(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])"
+    return (rf"\b(?:(?:{'|'.join(forms)})\b(?:/{prefix}\b)?"
+            rf"|{first}(?::{group}){{0,6}}::/{prefix}\b)")
+
+
+# --- fixed values -----------------------------------------------------------
 PATTERNS: tuple[Pattern, ...] = (
     Pattern("STREET_ADDRESS", "street_address_full",
             _street(f"(?:{_SUFFIX}{_SUFFIX_MORE})" + r"\b"), 0.6),
@@ -165,7 +183,11 @@ PATTERNS: tuple[Pattern, ...] = (
             must_contain="("),
     Pattern("PHONE_NUMBER", "us_phone_dashes", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b", 0.65),
     Pattern("PHONE_NUMBER", "us_phone_10digit", r"\b\d{10}\b", 0.4),
-    # Own definitions for types that come without a pattern.
+    # Own definitions for types and forms that come without a pattern.
+    Pattern("IP_ADDRESS", "ipv6", _ipv6(), 0.8, must_contain=":"),
+    Pattern("PHONE_NUMBER", "phone_international",
+            r"\+[1-9]\d{0,2}[-. ]?\(?\d{1,4}\)?(?:[-. ]?\d{2,4}){2,4}\b", 0.75,
+            must_contain="+"),
     Pattern("EMAIL_ADDRESS", "email", EMAIL, 1.0, must_contain="@", has_digit=False),
     Pattern("CREDIT_CARD", "card",
             rf"\b(?:{CARD}|\d{{4}}[- ]\d{{4}}[- ]\d{{4}}[- ]\d{{4}})\b", 1.0, checksum="luhn"),

@@ -37,9 +37,9 @@ def _replace(value: Column, entity_type: Column, params: Params) -> Column:
 def _check_replace(params: Params) -> None:
     if not isinstance(params.get("secret", ""), str):
         raise ValueError("secret must be text")
-    from .pools import country_of
+    from .pools import language_of
 
-    country_of(params.get("locale", DEFAULT_LOCALE))
+    language_of(params.get("locale", DEFAULT_LOCALE))
 
 
 def _mask(value: Column, entity_type: Column, params: Params) -> Column:

@@ -24,7 +24,7 @@ from .pools import (
     STREET_SUFFIXES,
     STREETS,
     WALLET_PREFIXES,
-    country_of,
+    language_of,
 )
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,8 +44,8 @@ def _seven(h: Column, k: int) -> Column:
     return padded(draw(h, k) % 10**7, 7)
 
 
-def person(h: Column, country: str) -> Column:
-    first_head, first_tail, last_head, last_tail = NAME_PARTS[country]
+def person(h: Column, language: str) -> Column:
+    first_head, first_tail, last_head, last_tail = NAME_PARTS[language]
     return F.concat(
         pick(first_head, draw(h, 0)), pick(first_tail, draw(h, 1)), F.lit(" "),
         pick(last_head, draw(h, 2)), pick(last_tail, draw(h, 3)),
@@ -108,10 +108,10 @@ def guid(h: Column) -> Column:
 
 def generators(locale: str = DEFAULT_LOCALE) -> dict[str, Callable[[Column, Column], Column]]:
     """For each type a function of (value, key)."""
-    country = country_of(locale)
+    language = language_of(locale)
     phone = PHONE_FORMATS[locale]
     return {
-        "PERSON": lambda v, h: person(h, country),
+        "PERSON": lambda v, h: person(h, language),
         "EMAIL_ADDRESS": lambda v, h: F.concat(F.lit("user_"), F.substring(h, 1, 10),
                                                F.lit("@example.net")),
         "PHONE_NUMBER": lambda v, h: F.format_string(phone, draw(h, 0) % 1000,

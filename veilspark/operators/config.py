@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.patterns import DEFAULT_THRESHOLD
-from ..functions.pools import DEFAULT_LOCALE, country_of
+from ..functions.pools import DEFAULT_LOCALE, language_of
 from ..functions.strategies import STRATEGIES
 from ..schemas import TYPE_CONFIGS
 from .cleaning import CleanConfig
@@ -37,7 +37,7 @@ def update(configs: DataFrame, at: Column, threshold: float | None = None,
     if threshold is not None and not 0.0 <= threshold <= 1.0:
         raise ValueError("confidence_threshold must be between 0.0 and 1.0")
     if locale is not None:
-        country_of(locale)
+        language_of(locale)
 
     def changed(new: Any, column: str) -> Column:
         old = F.col(column)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.arrays import let
 from ..functions.keys import draw, mapping_key
 from ..functions.names import is_latin
-from ..functions.pools import DEFAULT_COUNTRY
+from ..functions.pools import DEFAULT_LANGUAGE
 from ..functions.substitutes import person
 from .skew import keyed_join
 
@@ -80,7 +80,7 @@ def person_substitutes(names: DataFrame, dictionary: DataFrame, row_id: str, nam
             pool, (draw(h, k) % F.size(pool) + 1).cast("int"))
         return F.when((F.size(firsts) > 0) & (F.size(lasts) > 0),
                       F.concat(take(firsts, 0), F.lit(" "), take(lasts, 1))).otherwise(
-            person(h, DEFAULT_COUNTRY))
+            person(h, DEFAULT_LANGUAGE))
 
     return joined.select(row_id, "country", let(key, chosen).alias("substitute"))
 

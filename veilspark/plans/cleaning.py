@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import ip as ipf
 from ..functions.keys import mapping_id, mapping_key
 from ..functions.names import is_latin
+from ..functions.pools import LOCALES
 from ..functions.strategies import apply_strategy, by_type
 from ..functions.substitutes import place, substitute
 from ..operators.cleaning import (
     CleanConfig,
     clean_texts,
+    detect,
     explode_spans,
     output_offsets,
     resolved,
@@ -19,7 +21,7 @@ from ..operators.cleaning import (
     with_spans,
 )
 from ..operators.names import name_origin, person_substitutes, top_names
-from ..sources.derived import IPS, MESSAGES, NAMES, table
+from ..sources.derived import IPS, MESSAGES, NAMES, PROBE, table
 from ..sources.files import spread
 from . import oracle as o
 from .registry import query
@@ -159,14 +161,12 @@ def _substitute_query(group: str, types: list[str]) -> None:
 for _group, _types in _GROUPS.items():
     _substitute_query(_group, _types)
 
-_LOCALES = ("de_DE", "fr_FR", "es_MX", "ru_RU", "ja_JP")
-
 
 @query("substitutes_locales", "with v as (select c_custkey as id, c_name as v, "
        + f"{o.key('c_name', o.q('PERSON'))} as h from customer) "
        + " union all ".join(
            f"select id, {o.q(c)} as locale, {o.substitutes('v', 'h', c)['PERSON']} as person, "
-           f"{o.substitutes('v', 'h', c)['PHONE_NUMBER']} as phone from v" for c in _LOCALES))
+           f"{o.substitutes('v', 'h', c)['PHONE_NUMBER']} as phone from v" for c in LOCALES))
 def substitutes_locales(spark, folder):
     values = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("v"),
@@ -177,7 +177,7 @@ def substitutes_locales(spark, folder):
 
     rows = F.array(*[
         F.struct(F.lit(c).alias("locale"), made(c, "PERSON").alias("person"),
-                 made(c, "PHONE_NUMBER").alias("phone")) for c in _LOCALES])
+                 made(c, "PHONE_NUMBER").alias("phone")) for c in LOCALES])
     return values.select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 
@@ -227,6 +227,20 @@ def ip_network_test(spark, folder):
         F.when(ipf.is_network(ip), ipf.prefix_length(ip)).alias("prefix"))
 
 
+_V6 = PROBE["ipv6"]
+
+
+@query("ip6_substitute", f"with src as ({_V6.sql}),\n{o.detections('src', ['IP_ADDRESS'])},\n"
+       f"hashed as (select *, {o.key('value', 'entity_type')} as h from det)\n"
+       f"select id, value as ip, {o.substitute_ip('value', 'h')} as substitute from hashed")
+def ip6_substitute(spark, folder):
+    found = explode_spans(detect(_V6.frame(spark, folder), CleanConfig(["IP_ADDRESS"])),
+                          "detections", "id")
+    key = mapping_key(F.col("text"), F.col("entity_type"))
+    return found.select("id", F.col("text").alias("ip"),
+                        ipf.substitute_ip(F.col("text"), key).alias("substitute"))
+
+
 @query("ip_substitute", f"with v as (select id, ip, {o.key('ip', o.q('IP_ADDRESS'))} as h from ({IPS.sql})) select id, ip, {o.substitute_ip('ip', 'h')} as substitute from v")
 def ip_substitute(spark, folder):
     key = mapping_key(F.col("ip"), F.lit("IP_ADDRESS"))

@@ -68,6 +68,8 @@ for _name, _probe, _types, _threshold in (
     ("detect_guid", "guid", ["GUID"], 0.4),
     ("detect_coordinate", "coordinate", ["COORDINATE"], 0.4),
     ("detect_phone", "phone", ["PHONE_NUMBER"], 0.4),
+    ("detect_ipv6", "ipv6", ["IP_ADDRESS"], 0.4),
+    ("detect_phone_international", "phone_abroad", ["PHONE_NUMBER"], 0.4),
     ("detect_credit_card", "card", ["CREDIT_CARD"], 0.4),
     ("detect_iban", "iban", ["IBAN_CODE"], 0.4),
     ("detect_crypto", "crypto", ["CRYPTO"], 0.4),
@@ -186,10 +188,10 @@ _HITS = "from grams join dict d on lower(grams.term) = lower(d.term)"
 
 @query("detect_gazetteer", _GRAMS + f"""select id, d.entity_type, start, end_ as "end", d.score::double as score, grams.text as text {_HITS}""")
 def detect_gazetteer(spark, folder):
-    return gazetteer_spans(*_gazetteer(spark, folder), "id")
+    return gazetteer_spans(*gazetteer_input(spark, folder), "id")
 
 
-def _gazetteer(spark, folder) -> tuple[DataFrame, DataFrame]:
+def gazetteer_input(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Texts and the dictionary for them."""
     customer, nation, region = (table(spark, folder, t) for t in ("customer", "nation", "region"))
     texts = (
@@ -214,8 +216,11 @@ _DONE = ", ".join((_ALL, _ALL_SPANS, o.resolved("src", "every"),
                    o.keyed(kinds=["LOCATION", "NRP"]), o.rewritten("src")))
 
 
-@query("anonymize_gazetteer", _GRAMS.rstrip() + ", " + _DONE + " select id, anonymized_text from done")
+GAZETTEER_SQL = _GRAMS.rstrip() + ", " + _DONE + " select id, anonymized_text from done"
+
+
+@query("anonymize_gazetteer", GAZETTEER_SQL)
 def anonymize_gazetteer(spark, folder):
-    texts, terms = _gazetteer(spark, folder)
+    texts, terms = gazetteer_input(spark, folder)
     return clean_texts(with_gazetteer(texts, terms, "id"), extra="given").select(
         "id", "anonymized_text")

@@ -24,7 +24,7 @@ from ..functions.pools import (
     STREET_SUFFIXES,
     STREETS,
     WALLET_PREFIXES,
-    country_of,
+    language_of,
 )
 
 # Written out again with open repeats, which the other engine follows without a stack.
@@ -201,7 +201,32 @@ def _host(h: str, is_private: str) -> str:
             f"else '192.168.' || ({b})::varchar || '.' || ({c})::varchar end)")
 
 
+def _version_six(ip: str, h: str) -> str:
+    g = [f"substr({h}, {1 + 4 * n}, 4)" for n in range(8)]
+    n = f"try_cast(regexp_extract({ip}, '::/([0-9]+)$', 1) as int)"
+    tail = f"(case when contains({ip}, '/') then substr({ip}, instr({ip}, '/')) else '' end)"
+    site = f"'fd' || left({h}, 2) || ':' || {g[1]}"
+    docs = f"'2001:db8:' || {g[0]}"
+    rest = " || ':' || ".join(g[2:7])
+
+    def made(head: str, short: str, more: str) -> str:
+        return (f"(case when {n} >= 64 then {head} || ':' || {g[2]} || '::/' || {n} "
+                f"when {n} >= 48 then {head} || '::/' || {n} "
+                f"when {n} is not null then {short} || '::/' || {n} "
+                f"else {head} || ':' || {rest}{more} || {tail} end)")
+
+    return (f"(case when regexp_matches(lower({ip}), '^(fc|fd|fe8|fe9|fea|feb)') then "
+            + made(site, f"(case when {n} >= 8 then 'fd00' else 'fc00' end)", f" || ':' || {g[7]}")
+            + " else " + made(docs, f"(case when {n} >= 32 then '2001:db8' when {n} >= 16 "
+                              "then '2001' else '2000' end)", "") + " end)")
+
+
 def substitute_ip(ip: str, h: str) -> str:
+    return (f"(case when contains({ip}, ':') then {_version_six(ip, h)} "
+            f"else {_version_four(ip, h)} end)")
+
+
+def _version_four(ip: str, h: str) -> str:
     addr = f"split_part({ip}, '/', 1)"
     octet = f"({list(PUBLIC_OCTETS)})[{u(h, 0)} % {len(PUBLIC_OCTETS)} + 1]"
     a, b, c = f"{u(h, 1)} % 256", f"{u(h, 2)} % 256", f"{u(h, 3)} % 256"
@@ -229,7 +254,7 @@ def luhn_digit(d: str) -> str:
 
 
 def substitutes(v: str, h: str, locale: str = "en_US") -> dict[str, str]:
-    fh, ft, lh, lt = NAME_PARTS[country_of(locale)]
+    fh, ft, lh, lt = NAME_PARTS[language_of(locale)]
     seven = lambda k: pad(f"{u(h, k)} % 10000000", 7)
     card = f"'4' || {seven(0)} || {seven(1)}"
     iban_body = f"(({u(h, 0)} % 1000000000)::hugeint * 1000000000 + {u(h, 1)} % 1000000000)"

@@ -74,6 +74,13 @@ PROBES = {
     "phone": f"""case k % 3 when 0 then 'call me at ' when 1 then 'ref ' else '' end || case k % 4
  when 0 then '555-' || {pad('k % 1000', 3)} || '-' || {pad('k % 10000', 4)} when 1 then '(555) ' || {pad('k % 1000', 3)} || '.' || {pad('k % 10000', 4)}
  when 2 then '555' || {pad('k % 1000', 3)} || {pad('k % 10000', 4)} else '555.' || {pad('k % 1000', 3)} || ' ' || {pad('k % 10000', 4)} end""",
+    "ipv6": f"""'from ' || case k % 6 when 0 then '2001:0db8:85a3:0000:0000:8a2e:' || {s('1000 + k % 9000')} || ':7334'
+ when 1 then '2a02:' || {s('k % 9999')} || '::1' when 2 then 'fe80::' || {s('k % 9999')} || ':1:2/64'
+ when 3 then 'fd00:' || {s('k % 999')} || '::/' || {s('k % 129')} when 4 then '2600::/' || {s('k % 130')}
+ else 'std::vector and 00:1a:2b:3c:4d:5e at 12:30:' || {s('10 + k % 50')} end || ' ok'""",
+    "phone_abroad": f"""'reach ' || case k % 6 when 0 then '+44 20 7' || {pad('k % 1000', 3)} || ' ' || {pad('k % 10000', 4)}
+ when 1 then '+49 30 ' || {pad('k % 10000000', 7)} when 2 then '+1 (555) ' || {pad('k % 1000', 3)} || '-' || {pad('k % 10000', 4)}
+ when 3 then '+358' || {pad('k % 10000000', 9)} when 4 then '+' || {s('k % 10')} || '.5' else 'a+12345 or C++ 2011' end || '.'""",
     "card": f"""'paid with ' || {_CARD} || ' by ' || {s('4000000000000000 + k')} || '.'""",
     "iban": f"""'to ' || {_IBAN} || ' from DE' || {pad('k % 97 + 2', 2)} || {pad('k * 7919', 18)}""",
     "crypto": f"""case k % 3 when 0 then 'bc1' || md5({s('k')}) when 1 then '1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN' || {s('1 + k % 9')}
