@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilspark.session import fresh_path
 
-from . import bpe, html, langid, nearest, neardup, packing, pii, sharding, simhash, warc
+from . import (
+    bpe, html, langid, nearest, neardup, packing, periodic, perplexity, pii, sharding, simhash,
+    spelling, warc)
 from .common import table
 
 QUERIES = {}
@@ -98,3 +102,50 @@ def op8_warc(spark, folder):
 def op9_nearest_neighbours(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return nearest.nearest(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
+def letter_dropped(doc_id, word: str) -> str:
+    """Every 31st pair of document and word, by their hash, loses a letter (null ids none)."""
+    if doc_id is None:
+        return word
+    h = zlib.crc32(f"{doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 31 else word[:at] + word[at + 1:]
+
+
+@query
+def op11_spelling(spark, folder):
+    counted = spelling.word_counts(table(spark, folder, "documents"), edit=letter_dropped)
+    return spelling.variants(counted.filter("n >= 2"))
+
+
+@query
+def op12_quality_rules(spark, folder):
+    return perplexity.quality(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "bits")
+
+
+def made_periodic(doc_id, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by the hash of its id, repeats a stretch of its words to the end."""
+    n = len(words)
+    if doc_id is None or not n:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    found = periodic.periodic_runs(table(spark, folder, "documents"), edit=made_periodic)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
