@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.json_text import member, members, number_or_text, quoted, scalar, written
 from ..functions.keys import mapping_key
 from ..functions.substitutes import substitute
 from .cleaning import CleanConfig, clean_texts, clean_value, computed
@@ -35,30 +36,24 @@ GEO = "geoCoordinates"
 MARK = "{PII"
 # --- end of fixed values ----------------------------------------------------
 
-# Numbers are read as text, which keeps their digits.
-JSON_SCHEMAS = {
-    "LocationDetails": "city string, state string, countryOrRegion string, "
-                       "geoCoordinates struct<latitude:string,longitude:string>",
-    "DeviceDetail": "deviceId string, displayName string, operatingSystem string, "
-                    "browser string, isCompliant boolean, isManaged boolean",
-}
-
-
 def is_filled(value: Column) -> Column:
     return F.coalesce(value.rlike(r"\S"), F.lit(False))
 
 
-def parsed(field: str) -> Column:
-    """JSON text as a struct; null for text that is not JSON."""
-    return F.from_json(F.col(field), JSON_SCHEMAS[field], {"mode": "PERMISSIVE"})
+def with_members(records: DataFrame, fields: Mapping[str, tuple[str, ...]]) -> DataFrame:
+    """Add the members of every JSON text, and those of its coordinates, as columns."""
+    read = computed(records, **{f"_{f}": members(F.col(f)) for f in fields})
+    inner = lambda f: member(F.col(f"_{f}"), GEO)
+    geo = {f"_{f}_{GEO}": members(inner(f)["json"], inner(f)["digits"])
+           for f, keys in fields.items() if set(keys) & set(COORDINATES)}
+    return computed(read, **geo) if geo else read
 
 
-def _inside(field: str, key: str, struct: Column) -> Column:
-    """The value of a key. Coordinates are read through a variant: it keeps the digits of
-    a number, where reading it as text may turn it into scientific notation."""
+def _inside(field: str, key: str) -> Column:
+    """The value of a key: texts only, but numbers too for coordinates."""
     if key in COORDINATES:
-        return F.try_variant_get(F.try_parse_json(F.col(field)), f"$.{GEO}.{key}", "string")
-    return struct[key]
+        return scalar(member(F.col(f"_{field}_{GEO}"), key))
+    return member(F.col(f"_{field}"), key)["text"]
 
 
 def _takes_part(value: Column, key: str) -> Column:
@@ -83,8 +78,8 @@ def extract_values(records: DataFrame, row_id: str, fields: tuple[str, ...] = FI
 def extract_json_values(records: DataFrame, row_id: str,
                         fields: Mapping[str, tuple[str, ...]] = JSON_FIELDS) -> DataFrame:
     """The same for the keys inside JSON text, as ``Field.key``."""
-    structs = records.select(row_id, *fields, *[parsed(f).alias(f"_{f}") for f in fields])
-    value = {(f, k): _inside(f, k, F.col(f"_{f}")) for f, keys in fields.items() for k in keys}
+    structs = with_members(records.select(row_id, *fields), fields)
+    value = {(f, k): _inside(f, k) for f, keys in fields.items() for k in keys}
     pairs = F.array(*[
         F.struct(F.lit(f"{f}.{k}").alias("field"),
                  F.when(_takes_part(value[f, k], k), value[f, k]).alias("value"))
@@ -131,17 +126,18 @@ def clean_records(records: DataFrame, config: CleanConfig = CleanConfig(),
     """Records with the listed fields cleaned, all other columns as they are.
 
     ``field_types`` names fields whose whole value is of a known type and is
-    replaced without detection. JSON text is rebuilt only where a value takes part.
+    replaced without detection. JSON text is written anew only where a value takes part;
+    its other members, known or not, stay as they are.
     """
     known = dict(field_types or {})
     slots = list(fields) + [f"{f}.{k}" for f, keys in json_fields.items() for k in keys]
-    structs = records.select("*", *[parsed(f).alias(f"_{f}") for f in json_fields])
+    structs = with_members(records, json_fields)
 
     def source(slot: str) -> Column:
         field, _, key = slot.partition(".")
         if not key:
             return F.when(is_filled(F.col(field)), F.col(field))
-        value = _inside(field, key, F.col(f"_{field}"))
+        value = _inside(field, key)
         return F.when(_takes_part(value, key), value)
 
     free = [s for s in slots if s not in known]
@@ -161,29 +157,19 @@ def clean_records(records: DataFrame, config: CleanConfig = CleanConfig(),
 
     out = {f: F.coalesce(result(f), F.col(f)).alias(f) for f in fields}
     for f, keys in json_fields.items():
-        struct = F.col(f"_{f}")
+        new = {k: result(f"{f}.{k}") for k in keys}
         changed = F.lit(False)
-        for k in keys:
-            changed = changed | result(f"{f}.{k}").isNotNull()
-            if k not in COORDINATES:
-                struct = struct.withField(
-                    k, F.coalesce(result(f"{f}.{k}"), F.col(f"_{f}")[k]))
-        if set(keys) & set(COORDINATES):
-            struct = struct.withField(GEO, F.when(F.col(f"_{f}")[GEO].isNotNull(), F.struct(*[
-                number_if_possible(F.coalesce(result(f"{f}.{k}"), _inside(f, k, struct)))
-                .alias(k) for k in COORDINATES])))
-        out[f] = F.when(changed, F.to_json(struct)).otherwise(F.col(f)).alias(f)
+        for value in new.values():
+            changed = changed | value.isNotNull()
+        inner = {k: quoted(v) for k, v in new.items() if k not in COORDINATES}
+        places = {k: number_or_text(v) for k, v in new.items() if k in COORDINATES}
+        if places:
+            geo = F.col(f"_{f}_{GEO}")
+            inner[GEO] = F.when(geo.isNotNull(), written(geo, places))
+        out[f] = F.when(changed, written(F.col(f"_{f}"), inner)).otherwise(F.col(f)).alias(f)
     return worked.select(*[out.get(c, F.col(c)) for c in records.columns])
 
 
-def number_if_possible(text: Column) -> Column:
-    """A variant that is written to JSON as a number when the text is one, else as text."""
-    quoted = F.to_json(F.struct(text.alias("v")))
-    as_text = F.try_variant_get(F.try_parse_json(quoted), "$.v", "variant")
-    number = F.when(text.rlike(r"^-?(?:0|[1-9]\d*)(?:\.\d+)?$"), F.try_parse_json(text))
-    return F.coalesce(number, as_text)
-
-
 def summary(records: DataFrame, values: DataFrame, words: DataFrame) -> DataFrame:
     """Records, different values, different values that changed: one row."""
     changed = words.agg(

@@ -222,5 +222,15 @@ GAZETTEER_SQL = _GRAMS.rstrip() + ", " + _DONE + " select id, anonymized_text fr
 @query("anonymize_gazetteer", GAZETTEER_SQL)
 def anonymize_gazetteer(spark, folder):
     texts, terms = gazetteer_input(spark, folder)
-    return clean_texts(with_gazetteer(texts, terms, "id"), extra="given").select(
+    return clean_texts(with_gazetteer(texts, terms), extra="given").select(
+        "id", "anonymized_text")
+
+
+@query("gazetteer_any_ids", GAZETTEER_SQL.removesuffix("select id, anonymized_text from done")
+       + "select case when id % 3 > 0 then id % 10 end as id, anonymized_text from done")
+def gazetteer_any_ids(spark, folder):
+    """Ids that are null or repeat, and a dictionary that is cut into pieces."""
+    texts, terms = gazetteer_input(spark, folder)
+    texts = texts.withColumn("id", F.expr("case when id % 3 > 0 then id % 10 end"))
+    return clean_texts(with_gazetteer(texts, terms, piece_bytes=300), extra="given").select(
         "id", "anonymized_text")

@@ -11,7 +11,7 @@ from ..operators import compare, records
 from ..operators.cleaning import clean_texts
 from ..session import fresh_path
 from ..sources import files
-from ..sources.derived import MESSAGES, SIGNINS, table
+from ..sources.derived import MESSAGES, SIGNINS, Derived, guid, pad, s, table
 from . import oracle as o
 from .registry import query
 
@@ -107,14 +107,44 @@ def records_clean_json(spark, folder):
     place = F.from_json("LocationDetails",
                         "city string, state string, countryOrRegion string, "
                         "geoCoordinates struct<latitude:double,longitude:double>")
-    return rows.select("entry", "LocationDetails", place.alias("p"),
-                       records.parsed("DeviceDetail").alias("d")).select(
+    device = F.from_json("DeviceDetail", "deviceId string, displayName string, operatingSystem string")
+    return rows.select("entry", "LocationDetails", place.alias("p"), device.alias("d")).select(
         "entry", "p.city", "p.state", "p.geoCoordinates.latitude", "p.geoCoordinates.longitude",
         "d.deviceId", "d.displayName", F.col("p.countryOrRegion").alias("country"),
         F.col("d.operatingSystem").alias("system"),
         F.when(~F.col("LocationDetails").startswith("{"), F.col("LocationDetails")).alias("raw"))
 
 
+# JSON of every kind around the cleaned keys; the other engine puts the parts together.
+_Q, _B = "' || chr(34) || '", "' || chr(92) || '"  # engines read escapes in literals differently
+_PLACE_JSON = (
+    """'{{"zip":null,"altitude":' || a || ',"city":"' || {city} || '","tags":["b",{{"x":null,"a":[1,2.5]}},' || a || '],'"""
+    """ || '"state":' || t || ',"geoCoordinates":{{"datum":"WGS{b}"84","longitude":null,"latitude":' || {latitude} || '}},"flag":false}}'""")
+_DEVICE_JSON = (
+    """'{{"trustType":"Azure {b}{q}AD{b}{q}","deviceId":"' || {device} || '","isCompliant":null,"displayName":' || a || '}}'""")
+_SHAPE = Derived("orders", {"o": "o_orderkey", "k": "o_custkey"}, {
+    "entry": "o", "a": s("o % 97"), "t": """case o % 3 when 0 then 'null' when 1 then '["Stow-In-The-Wold"]' else '{"s":1}' end""",
+    "city": f"case k % 3 when 0 then 'Newton-On-Tees' when 1 then 'Town' || {s('k % 7')} else '{{PII' || {s('k')} || '}}' end",
+    "latitude": f"{s('k % 90')} || '.' || {pad('k * 7919 % 100000', 5)} || '7'", "device": guid("k + 1")})
+_SHAPED = {"LocationDetails": _PLACE_JSON.format(city="city", latitude="latitude", b=_B),
+           "DeviceDetail": _DEVICE_JSON.format(device="device", b=_B, q=_Q)}
+
+
+@query("records_json_any_shape", f"""with rec as ({_SHAPE.sql}), every as (select city as value from rec where not starts_with(city, '{{PII')
+ union select latitude from rec union select device from rec), {SRC},
+{o.detections('src')},
+{o.resolved('src')},
+{o.keyed()},
+{o.rewritten('src')},
+words as (select text as value, anonymized_text as cleaned from src join done using (id)),
+new as (select entry, a, t, coalesce(c.cleaned, city) as city, l.cleaned as latitude, d.cleaned as device from rec
+ left join words c on c.value = city join words l on l.value = latitude join words d on d.value = device)
+select entry, {_SHAPED['LocationDetails']} as LocationDetails, {_SHAPED['DeviceDetail']} as DeviceDetail from new""")
+def records_json_any_shape(spark, folder):
+    rows = _SHAPE.frame(spark, folder).selectExpr("entry", *[f"{e} as {n}" for n, e in _SHAPED.items()])
+    return records.clean_records(rows, fields=())
+
+
 _KNOWN = {"Identity": "PERSON", "UniqueTokenIdentifier": "GUID"}
 
 
