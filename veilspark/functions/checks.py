@@ -22,14 +22,17 @@ def luhn_digit(digits: Column) -> Column:
     )
 
 
-def mod97_ok(value: Column) -> Column:
-    """IBAN test: first four characters to the end, letters as 10..35, rest 1."""
-    turned = F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))
-    rest = F.aggregate(
-        F.split(F.upper(turned), ""),
+def mod97_rest(text: Column) -> Column:
+    """Rest by 97 of a text of digits and letters (10 to 35)."""
+    return F.aggregate(
+        F.split(F.upper(text), ""),
         F.lit(0),
         lambda acc, c: F.when(
             F.instr(F.lit(_ALPHABET), c) <= 10, acc * 10 + F.instr(F.lit(_ALPHABET), c) - 1
         ).otherwise(acc * 100 + F.instr(F.lit(_ALPHABET), c) - 1) % 97,
     )
-    return rest == 1
+
+
+def mod97_ok(value: Column) -> Column:
+    """IBAN test: first four characters to the end, letters as 10..35, rest 1."""
+    return mod97_rest(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1

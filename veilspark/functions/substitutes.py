@@ -14,6 +14,7 @@ from .arrays import let
 from .checks import luhn_digit
 from .ip import substitute_ip
 from .keys import draw, padded
+from .permutation import NUMBERED, prefix_preserving, unique_number
 from .pools import (
     BASE58,
     CITIES,
@@ -156,8 +157,15 @@ def substitute(
     key: Column,
     locale: str = DEFAULT_LOCALE,
     types: list[str] | None = None,
+    unique: bool = False,
+    secret: str = "",
 ) -> Column:
-    """The substitute of a value. ``types`` keeps only the branches that can occur."""
+    """The substitute of a value. ``types`` keeps only the branches that can occur.
+
+    With ``unique`` numbers of a type, and addresses, get substitutes that differ whenever
+    they do (see ``permutation``); values without the form of their type, names, places
+    and dates are drawn as usual.
+    """
     made = generators(locale)
     if types is not None:
         made = {t: g for t, g in made.items() if t in set(types)}
@@ -174,4 +182,14 @@ def substitute(
         last = default_substitute(h)
         return last if branch is None else branch.otherwise(last)
 
-    return let(key, chosen)
+    drawn = let(key, chosen)
+    if not unique:
+        return drawn
+    numbered = [t for t in NUMBERED if types is None or t in types]
+    out = drawn
+    if numbered:
+        out = F.coalesce(F.when(entity_type.isin(*numbered),
+                                unique_number(value, entity_type, secret)), out)
+    if types is None or "IP_ADDRESS" in types:
+        out = F.coalesce(F.when(entity_type == "IP_ADDRESS", prefix_preserving(value, secret)), out)
+    return out

@@ -32,13 +32,15 @@ from ..functions.strategies import by_type
 
 @dataclass(frozen=True)
 class CleanConfig:
-    """How texts are cleaned. ``strategies`` maps a type to (name, parameters)."""
+    """How texts are cleaned. ``strategies`` maps a type to (name, parameters); with ``unique``
+    different numbers and addresses always get different substitutes."""
 
     entity_types: list[str] | None = None
     threshold: float = DEFAULT_THRESHOLD
     locale: str = DEFAULT_LOCALE
     secret: str = ""
     strategies: dict[str, tuple[str, dict[str, Any] | None]] = field(default_factory=dict)
+    unique: bool = False
 
     def __hash__(self) -> int:
         return hash(repr(self))
@@ -174,7 +176,8 @@ def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None
     """
     chosen = select_patterns(config.entity_types, config.threshold)
     params = {"locale": config.locale, "secret": config.secret,
-              "types": config.types if given else [p.entity_type for p in chosen]}
+              "types": config.types if given else [p.entity_type for p in chosen],
+              "unique": config.unique}
 
     def one(s: Column) -> Column:
         made = by_type(s["text"], s["entity_type"], config.strategies, params)

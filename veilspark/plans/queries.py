@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import books, cleaning, detection, incremental, records  # noqa: F401
+from . import books, cleaning, detection, incremental, records, unique  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
