@@ -28,12 +28,14 @@ from ..functions.spans import (
     score_spans,
 )
 from ..functions.strategies import by_type
+from .origin import OriginModel
 
 
 @dataclass(frozen=True)
 class CleanConfig:
     """How texts are cleaned. ``strategies`` maps a type to (name, parameters); with ``unique``
-    different numbers and addresses always get different substitutes."""
+    different numbers and addresses always get different substitutes; an ``origin`` model
+    chooses persons of the same origin and script."""
 
     entity_types: list[str] | None = None
     threshold: float = DEFAULT_THRESHOLD
@@ -41,6 +43,7 @@ class CleanConfig:
     secret: str = ""
     strategies: dict[str, tuple[str, dict[str, Any] | None]] = field(default_factory=dict)
     unique: bool = False
+    origin: OriginModel | None = None
 
     def __hash__(self) -> int:
         return hash(repr(self))
@@ -169,18 +172,21 @@ def _extra_fields(df: DataFrame, spans: str) -> list[str]:
 
 
 def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None,
-                given: bool = False) -> Column:
+                given: bool = False, names: Column | None = None) -> Column:
     """Add key and substitute to resolved spans; a pinned substitute wins.
 
-    Without spans ``given`` from elsewhere only types with a pattern can occur.
+    Without spans ``given`` from elsewhere only types with a pattern can occur. ``names`` has
+    a chosen name, or null, at the place of each span.
     """
     chosen = select_patterns(config.entity_types, config.threshold)
     params = {"locale": config.locale, "secret": config.secret,
               "types": config.types if given else [p.entity_type for p in chosen],
               "unique": config.unique}
 
-    def one(s: Column) -> Column:
+    def one(s: Column, i: Column | None = None) -> Column:
         made = by_type(s["text"], s["entity_type"], config.strategies, params)
+        if i is not None:
+            made = F.coalesce(F.get(names, i), made)
         key = mapping_key(s["text"], s["entity_type"], config.secret)
 
         def built(k: Column) -> Column:
@@ -200,7 +206,7 @@ def substituted(spans: Column, config: CleanConfig, pinned: Column | None = None
 
         return let(key, built)
 
-    return F.transform(spans, one)
+    return F.transform(spans, one if names is not None else lambda s: one(s))
 
 
 def rewrite(text: Column, spans: Column, parts: Column) -> Column:
@@ -221,9 +227,17 @@ def with_substitutions(texts: DataFrame, config: CleanConfig = CleanConfig(),
                        text: str = "text", pinned: Column | None = None,
                        extra: str | None = None) -> DataFrame:
     """Add ``substitutions`` to what ``with_spans`` adds, for uses that need no new text."""
-    made = (_substituted(_application(texts), config) if pinned is None and extra is None
-            else substituted(F.col("spans"), config, pinned, extra is not None))
-    return computed(with_spans(texts, config, text, extra=extra), substitutions=made)
+    rows = with_spans(texts, config, text, extra=extra)
+    names = None
+    if config.origin is not None and "PERSON" in config.replaced_types:
+        persons = F.transform("spans", lambda s: F.when(s["entity_type"] == "PERSON", s["text"]))
+        # texts without a person are no work for it
+        rows = rows.withColumn("_names", config.origin.names(
+            F.when(F.exists("spans", lambda s: s["entity_type"] == "PERSON"), persons), config.secret))
+        names = F.col("_names")
+    made = (_substituted(_application(texts), config) if pinned is None and extra is None and names is None
+            else substituted(F.col("spans"), config, pinned, extra is not None, names))
+    return computed(rows, substitutions=made)
 
 
 def clean_texts(texts: DataFrame, config: CleanConfig = CleanConfig(), text: str = "text",

@@ -21,7 +21,8 @@ from ..operators.cleaning import (
     with_spans,
 )
 from ..operators.names import name_origin, person_substitutes, top_names
-from ..sources.derived import IPS, MESSAGES, NAMES, PROBE, table
+from ..operators.origin import BUCKETS, SCALE, SMOOTHING, OriginModel, origin_with_model
+from ..sources.derived import IPS, MESSAGES, NAMES, PROBE, Derived, s, table
 from ..sources.files import spread
 from . import oracle as o
 from .registry import query
@@ -312,6 +313,51 @@ def substitutes_person_origin(spark, folder):
     return person_substitutes(NAMES.frame(spark, folder), _dictionary(spark, folder), "id", n=100)
 
 
+_RUNS = "list_transform(range(1, length({0}) + 1), lambda i: ('0x' || left(md5(substr('^' || lower({0}) || '$', i, 3)), 4))::int % {1})"
+_LOG = "round({0} * ln(({1} + {2}) / (total + {2} * {3})))::bigint".format
+_MODEL = f"""runs as (select country, b, count(*) as n from (select country, unnest({_RUNS.format('part', BUCKETS)}) as b
+  from (select distinct lower(part) as part, country from dict)) group by 1, 2),
+bases as (select country, sum(n) as total, {_LOG(SCALE, 0, SMOOTHING, BUCKETS)} as base from runs group by 1),
+more as (select b, country, {_LOG(SCALE, 'n', SMOOTHING, BUCKETS)} - base as more from runs join bases using (country)),
+asked as (select id, unnest({_RUNS.format('part', BUCKETS)}) as b from (select id, unnest(regexp_split_to_array(name, '\\s+')) as part from unknown)
+  where length(part) >= 2),
+likely as (select a.id, c.country, count(*) * any_value(base) + coalesce(sum(more), 0) as l from asked a cross join bases c
+  left join more m on m.b = a.b and m.country = c.country group by 1, 2),
+told as (select id, country from likely qualify row_number() over (partition by id order by l desc, country) = 1)"""
+# Names of which the dictionary holds all parts, some or none.
+_UNKNOWN = Derived("customer", {"k": "c_custkey"}, {"id": "k", "name": f"""case k % 5 when 0 then 'Иван Петро' || {s('k % 9')} when 1 then ''
+ when 2 then 'fa' || {s('k % 40')} when 3 then 'Fa' || {s('k % 13')} || '  Zed' else 'Éta-Lu Lala' || {s('k')} end"""})
+_PERSON_TEXT = "'Met ' || name || ' on 2024-01-0' || {0} || ' at a@b.org'".format
+
+
+@query("name_origin_unknown", f"""with {_DICTIONARY}, unknown as ({_UNKNOWN.sql}), {_MODEL},
+parts as (select id, unnest(regexp_split_to_array(trim(name), '\\s+')) as part from unknown),
+totals as (select id, country, sum(score)::bigint as score from parts join dict using (part) where length(part) >= 2 group by 1, 2),
+known as (select id, country, score from totals qualify row_number() over (partition by id order by score desc, country) = 1)
+select * from known union all select id, country, null from told where id not in (select id from known)""")
+def name_origin_unknown(spark, folder):
+    names, known = _UNKNOWN.frame(spark, folder), _dictionary(spark, folder)
+    return origin_with_model(names, name_origin(names, known, "id"), OriginModel(known), "id")
+
+
+@query("anonymize_person_origin", f"""with unknown as (select * from ({_UNKNOWN.sql}) where name <> ''), {_DICTIONARY}, {_MODEL},
+every as ({_pool('true')}), latin as ({_pool(_LATIN.format('part'))}),
+picked as (select u.id, u.name, t.country, {_LATIN.format('u.name')} as is_latin, {o.key('u.name', o.q('PERSON'))} as h from unknown u left join told t on u.id = t.id),
+pools as (select p.*, case when is_latin then latin.f else every.f end as f, case when is_latin then latin.l else every.l end as l
+ from picked p left join every on p.country = every.country left join latin on p.country = latin.country),
+chosen as (select id, name, case when len(f) > 0 and len(l) > 0 then f[{o.u('h', 0)} % len(f) + 1] || ' ' || l[{o.u('h', 1)} % len(l) + 1]
+ else {o.substitutes('name', 'h')['PERSON']} end as name_new from pools)
+select id, 'Met ' || name_new || ' on ' || '2024-01-0' || (1 + id % 9)::varchar || ' at ' || {o.substitutes("'a@b.org'", o.key("'a@b.org'", "'EMAIL_ADDRESS'"))['EMAIL_ADDRESS']} as anonymized_text from chosen""")
+def anonymize_person_origin(spark, folder):
+    """Persons in texts, found elsewhere, get names of their origin and script."""
+    names = _UNKNOWN.frame(spark, folder).filter("name <> ''")
+    texts = names.select("id", F.expr(_PERSON_TEXT("cast(1 + id % 9 as string)")).alias("text"), F.array(F.struct(
+        F.lit("PERSON").alias("entity_type"), F.lit(4).alias("start"), (F.length("name") + 4).alias("end"),
+        F.lit(0.9).alias("score"))).alias("given"))
+    config = CleanConfig(entity_types=["PERSON", "EMAIL_ADDRESS"], origin=OriginModel(_dictionary(spark, folder)))
+    return clean_texts(texts, config, extra="given").select("id", "anonymized_text")
+
+
 # Strategies, over every resolved value of the messages.
 def _values(spark, folder) -> DataFrame:
     return explode_spans(resolved(MESSAGES.frame(spark, folder)), "spans", "id")
