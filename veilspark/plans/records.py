@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.patterns import AUDIT_PATTERNS
 from ..operators import compare, records
-from ..operators.cleaning import clean_texts
-from ..session import fresh_path
+from ..operators.cleaning import CleanConfig, clean_texts
+from ..operators.leaks import corpus_leaks
+from ..session import fresh_path, materialize
 from ..sources import files
 from ..sources.derived import MESSAGES, SIGNINS, Derived, guid, pad, s, table
 from . import oracle as o
@@ -312,3 +313,19 @@ select (select count(*) from src) as texts, (select count(*) from sub) as spans_
  (select count(*) from again a where exists (select 1 from sub s where s.id = a.id and s.h = a.h)) as leaked""")
 def leak_check(spark, folder):
     return compare.leaks(clean_texts(MESSAGES.frame(spark, folder)))
+
+
+# Every fiftieth cleaned text names a client of another one, or of none.
+_PLANTED = "case when id % 50 = 0 then anonymized_text || ' see client' || cast(id % 997 as {0}) || '@mail' || cast(id % 7 as {0}) || '.example.com' else anonymized_text end"
+_LOOKED_FOR = ("EMAIL_ADDRESS", "US_SSN", "GUID", "URL", "IP_ADDRESS", "IBAN_CODE")
+
+
+@query("leak_corpus", o.full(MESSAGES.sql) + f""", planted as (select id, {_PLANTED.format('varchar')} as text from done),
+again as (with {o.detections('planted', types=list(_LOOKED_FOR))} select id, entity_type, start, end_, {o.key('value', 'entity_type')} as h from det)
+select id, entity_type, start, end_ as "end", h as original_hash from again where exists (select 1 from sub where sub.h = again.h)""")
+def leak_corpus(spark, folder):
+    """Originals in any cleaned text; some are planted."""
+    cleaned = materialize(clean_texts(MESSAGES.frame(spark, folder)), "cleaned")
+    originals = cleaned.select(F.explode("substitutions").alias("s")).select("s.original_hash", "s.entity_type")
+    planted = cleaned.select("id", F.expr(_PLANTED.format("string")).alias("anonymized_text"))
+    return corpus_leaks(planted, originals, CleanConfig(entity_types=list(_LOOKED_FOR)))
