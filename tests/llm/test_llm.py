@@ -47,6 +47,32 @@ def library(path):
     return t
 
 
+def test_packing_reads_the_normalizer(tmp_path):
+    """Ids of a vocabulary with and without lower case, and tokenizers that keep white space."""
+    import json
+
+    told = json.loads(open(WORD, encoding="utf-8").read())
+    texts = [t or "" for t in TEXTS] + [
+        "It's we'LL x's ''t A1b2 ½² É'S éÉ ÀB Straße ẞ K Ω é.e\u0301 don't, DON'T. a_b-c 3.14",
+        "<|ENDOFTEXT|> a<|endoftext|>b <|endoftext|>", "\u2028 a\u3000b \x85c İ ΑΣ ǅ ŉ"]
+    for lower in (True, False):
+        if not lower:
+            told["normalizer"]["normalizers"].pop()
+        path = tmp_path / f"{lower}.json"
+        path.write_text(json.dumps(told), encoding="utf-8")
+        t = library(str(path))
+        want = [struct.pack(f"<{len(e)}I", *e) for e in (
+            t.encode(x, add_special_tokens=False).ids for x in texts)]
+        assert packing.encode_texts(texts, str(path)) == want
+        words = packing.WordTokenizer(str(path))
+        assert words.lower == lower and words.cut is not None
+        for tables in (words.words, words.pieces):
+            tables.limit = 3
+        assert [words.texts([x])[0] for x in texts + texts] == want + want
+    with pytest.raises(ValueError, match="white space"):
+        packing.WordTokenizer(BYTE)
+
+
 def test_bpe_equals_the_library(spark, docs):
     t = library(BYTE)
     got = sorted((r["doc_id"] or 0, bytes(r["ids"]), r["decoded"])

@@ -10,16 +10,21 @@ Pieces then find their place by their number among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import gapless, map_rows, stored
-from .words import ODD, Encodings, held
+from .words import ODD, held
 
 Line = tuple[tuple[int, ...], int]  # lengths of one sequence, number of such sequences
 
@@ -157,44 +162,149 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length",
     )
 
 
-def _tokenizer(path: str):
-    """(encode a list of texts, the same kept per word), once per worker."""
-    return held(("words", path), lambda: _load(path))
+#: Latin letters, digits and marks: no two of them compose, each is lowered on its own.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+_PLAIN_TEXT = re.compile("[\\s!-~\xa1-\u012f\u0131-\u024f]*")
+#: Bytes that do not show stand for themselves as letters from 256 on, in their order.
+_SHOWN = {b: 256 + i for i, b in enumerate(
+    b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
-def _load(path: str):
-    import os
+class Recent:
+    """Key -> ids, kept in two generations of about ``limit`` keys.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    What is dropped is encoded again when it next occurs, so the bound changes the time
+    and never the result.
+    """
 
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
+    def __init__(self, encode: Callable[[list], list[bytes]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key; new ones are encoded together."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        got = list(map(self.young.get, keys))
+        lost = {k for k, v in zip(keys, got, strict=True) if v is None}
+        if not lost:
+            return got
+        found = {k: v for k in lost if (v := self.old.get(k)) is not None}
+        new = list(lost - found.keys())
+        found.update(zip(new, self.encode(new), strict=True))
+        self.young.update(found)
+        return [found[k] if v is None else v for k, v in zip(keys, got, strict=True)]
+
+
+class WordTokenizer:
+    """Ids of words by a tokenizer that drops white space.
 
-    def encode(words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 20_000):
-            for e in t.encode_batch_fast(words[i:i + 20_000], add_special_tokens=False):
-                ids = e.ids
-                yield struct.pack(f"<{len(ids)}I", *ids)
+    Such a tokenizer splits at white space before it does anything else, so a text's ids
+    are those of its words one after the other; other tokenizers are refused. Words are
+    kept in a bounded table. A word that is not there is cut as the tokenizer's own file
+    says (lower case, classes of characters), and only pieces that are new are encoded.
+    """
 
-    return encode, Encodings(encode, limit=400_000)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        for text in ("a b", " a\n\tb ", "A.  1 é"):
+            if self.encode([text])[0] != b"".join(self.encode(text.split())):
+                raise ValueError(f"{path}: this tokenizer does not drop white space")
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        normal = _parts(told["normalizer"], "normalizers")
+        split, *after = [*_parts(told["pre_tokenizer"], "pretokenizers"), {}]
+        self.lower = any(n["type"] == "Lowercase" for n in normal)
+        # only then a piece is a pre-token of its own, and its bytes are what the model gets
+        known = (
+            all(n["type"] in ("NFC", "Lowercase", "Replace") for n in normal)
+            and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
+            and "Regex" in split["pattern"] and [x.get("type") for x in after] == ["ByteLevel", None]
+            and not after[0]["add_prefix_space"] and not after[0].get("use_regex", True))
+        special = [t["content"] for t in told["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall if known else None
+        self.model = self.tokenizer.model
+        self.pieces = Recent(self._pieces, limit=300_000)
+        self.words = Recent(self._words, limit=300_000)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), 20_000)
+                for e in self.tokenizer.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        out, tokenize = [], self.model.tokenize
+        for piece in pieces:
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(_SHOWN)
+            out.append(array("I", [token.id for token in tokenize(piece)]).tobytes())
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Plain words by their pieces, others whole."""
+        block = "\n".join(words)
+        if self.cut is None:
+            plain = [False] * len(words)
+        elif _PLAIN_TEXT.fullmatch(block) and not (self.special and self.special.search(block)):
+            plain = [True] * len(words)
+        else:
+            plain = [_PLAIN.fullmatch(w) is not None
+                     and not (self.special and self.special.search(w)) for w in words]
+        cut = iter(self._by_pieces([w for w, p in zip(words, plain, strict=True) if p]))
+        whole = iter(self.encode([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(cut) if p else next(whole) for p in plain]
+
+    def _by_pieces(self, words: list[str]) -> list[bytes]:
+        """All words are cut at once; as pieces cover their words, lengths tell them apart."""
+        if not words:
+            return []
+        block = "\n".join(words)
+        pieces = self.cut(block.lower() if self.lower else block)
+        ids = self.pieces.values(pieces)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        covered = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(covered, ends)  # the last piece of each word
+        if covered[-1] != ends[-1] or (covered[last] != ends).any():
+            raise ValueError("the split pattern leaves out characters that are no white space")
+        cuts = [0, *np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[last].tolist()]
+        line = b"".join(ids)
+        return [line[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Texts with separators on which Python and the tokenizer disagree go whole."""
+        odd = {i for i, t in enumerate(texts) if ODD.search(t)}
+        cut = [[] if i in odd else self._lowered(t).split() for i, t in enumerate(texts)]
+        ids = self.words.values([w for c in cut for w in c])
+        out, at = [], 0
+        for i, c in enumerate(cut):
+            out.append(self.encode([texts[i]])[0] if i in odd else b"".join(ids[at:at + len(c)]))
+            at += len(c)
+        return out
+
+    def _lowered(self, text: str) -> str:
+        """In lower case, if that is sure to be the tokenizer's: fewer words are new then."""
+        if not self.lower or not (text.isascii() or _PLAIN_TEXT.fullmatch(text)):
+            return text
+        lowered = text.lower()  # special tokens are looked for before
+        return text if self.special and self.special.search(lowered) else lowered
+
+
+def _parts(step: dict | None, name: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer."""
+    if step is None:
+        return []
+    return step[name] if step["type"] == "Sequence" else [step]
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of texts by a tokenizer that drops white space, each distinct word once.
-
-    Such a tokenizer splits at white space before it does anything else, so a text's ids
-    are those of its words one after the other. Texts with separators on which Python
-    and the tokenizer disagree are encoded whole.
-    """
-    encode, words = _tokenizer(path)
-    odd = {i for i, t in enumerate(texts) if ODD.search(t)}
-    cut = [[] if i in odd else (t.lower() if t.isascii() else t).split()
-           for i, t in enumerate(texts)]
-    table = words.table({w for c in cut for w in c})
-    return [next(iter(encode([texts[i]]))) if i in odd else b"".join(map(table.__getitem__, c))
-            for i, c in enumerate(cut)]
+    """Ids of texts, with one tokenizer and its tables per worker."""
+    return held(("words", path), lambda: WordTokenizer(path)).texts(texts)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id",
