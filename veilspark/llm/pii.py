@@ -3,9 +3,13 @@
 The base patterns decide what is surely found. The field reads what they leave: stretches
 of words with a digit or an at sign, cut into tokens. A parse of a stretch is a row of
 single tokens outside and of whole segments with a kind; a segment is scored by features
-of its whole span, and a dynamic program over segments of at most ``LONGEST`` tokens
-weighs all parses together. A segment is added if its share of all parses is at least
-``SURE``. Words without digit or at sign cannot be part of any kind, so they are not read.
+of its whole span, and a dynamic program over segments of at most ``LONGEST`` tokens finds
+the best parse, which settles boundaries and kinds together. In it a segment has to outweigh
+its tokens outside by the odds of ``SURE``.
+
+It learns what values look like when they are not written as the patterns have it: base
+matches of a sample are disturbed (no plus sign, other separators, spaced at sign), and
+what the patterns leave there as it is stands outside.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16  # tokens of a segment
 SURE = 0.95
 BLOCK = 512  # tokens whose segments are held at a time
-#: Texts that the field is fitted on, and stretches of them, at most.
+#: Texts that the field is fitted on, stretches of them with a base match and without, at
+#: most; longer stretches are cut into windows of so many characters for that.
 SAMPLE_TEXTS = 4000
-SAMPLE_STRETCHES = 400
+SAMPLE_STRETCHES = 200
+WINDOW = 400
 
 # The base patterns in a form that is linear in the text. A match can only start at the
 # beginning of a run of digits, and greedy runs that cannot give back are possessive.
@@ -36,7 +42,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOG_SURE = math.log(SURE) - 1e-9
+_ODDS = math.log(SURE / (1 - SURE))
 _DIGITS = re.compile("[^0-9]+")
 _TRIGGER = re.compile("[0-9@]")
 _CHUNK = re.compile(r"\S+")
@@ -99,11 +105,21 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
             if after is None or not _TRIGGER.search(after.group()):
                 break
             end = after.end()
+        # words next to a spaced at sign belong to it
+        if text[start] == "@" and start - 2 >= done and text[start - 1] == " ":
+            start -= 1
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+        if text[end - 1] == "@" and text[end:end + 1] == " " and (
+                after := _CHUNK.match(text, end + 1)):
+            end = after.end()
         yield start, end
         done = end
 
 
-FEATURES = 22
+FEATURES = 29
+_RUNS = re.compile("[0-9]+")
+_SPACED = re.compile(r"[^\s@]+ ?@ ?[^\s@]+")
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -115,6 +131,8 @@ def features(text: str, start: int, end: int) -> list[float]:
     parts = s.split(".")
     before, after = text[start - 1:start], text[end:end + 1]
     letters = any(map(str.isalpha, s))
+    runs = _RUNS.findall(s)
+    sizes = [len(r) for r in runs]
     return [float(x) for x in (
         1,
         n == 0, 0 < n < 8, 8 <= n <= 15, 16 <= n <= 19, n > 19,
@@ -129,6 +147,14 @@ def features(text: str, start: int, end: int) -> list[float]:
         " " in s, before.isalnum() or before in ("+", ".", "-", "@", "_", "=", "\""),
         after.isalnum() or after in ("@", "-", "_"),
         s[0] in "+(" or s[0].isalnum(), s[-1].isalnum(),
+        not letters and sizes[-3:] == [3, 3, 4] and len(sizes) <= 4 and n <= 13,
+        not letters and sizes == [4, 4, 4, 4] and luhn(digits),
+        not letters and len(runs) == 4 and all(len(r) <= 3 and int(r) <= 255 for r in runs),
+        not letters and len(runs) == 4 and len(set(_RUNS.sub("0", s).strip("0").split("0"))) == 1
+        and max(sizes) <= 3,
+        bool(_SPACED.fullmatch(s)) and bool(re.search(r"\.[A-Za-z]{2,}$", s)),
+        after in (".", "-", "/", "_", "[") and text[end + 1:end + 2].isalnum(),
+        start > 1 and before in (".", "-", "/", "_", "(", "]") and text[start - 2].isalnum(),
     )]
 
 
@@ -187,8 +213,8 @@ class SegmentField:
                 around[r] = forward[i] + backward[j]
         return np.exp(scores + around - forward[n]), forward[n]
 
-    def fit(self, data: list[tuple[Stretch, dict[tuple[int, int], int]]], rounds: int = 40,
-            rate: float = 0.5, decay: float = 1e-3) -> SegmentField:
+    def fit(self, data: list[tuple[Stretch, dict[tuple[int, int], int]]], rounds: int = 30,
+            rate: float = 2.0, decay: float = 1e-4) -> SegmentField:
         """Climb the likelihood of the labelled parses (token span -> kind)."""
         squares = np.full_like(self.weights, 1e-8)
         for _ in range(rounds):
@@ -207,53 +233,40 @@ class SegmentField:
             self.weights += rate * slope / np.sqrt(squares)
         return self
 
-    def sure(self, text: str, start: int, end: int, block: int = BLOCK
-             ) -> Iterator[tuple[str, int, int]]:
-        """Segments of text[start:end] with a share of at least ``SURE``, by their start.
+    def parse(self, text: str, start: int, end: int, block: int = BLOCK
+              ) -> list[tuple[str, int, int]]:
+        """The segments of the best parse of text[start:end], by their start.
 
-        The same shares as :meth:`shares`, but only the segments that start in ``block``
-        tokens are held at a time: the program runs forward over the blocks, then back.
+        The segments that start in ``block`` tokens are held at a time; of the others two
+        numbers and a kind a token stay. Of equal parses the one with more outside wins.
         """
         cuts = array("q", [start])
         cuts.extend(m.end() for m in _TOKEN.finditer(text, start, end))
         n = len(cuts) - 1
-        forward, backward = array("d", [0.0]) * (n + 1), array("d", [0.0]) * (n + 1)
-        arriving: list[list[float]] = [[] for _ in range(LONGEST + 1)]  # by token, in a ring
-        held = None
+        best = array("d", [0.0]) + array("d", [-math.inf]) * n
+        came, kind = array("q", [-1]) * (n + 1), bytearray(n + 1)
         for low in range(0, n, block):
-            held = low, self._segments(text, cuts, low, min(n, low + block))
-            where, ends, _, whole = held[1]
+            where, ends, scores, kinds = self._segments(text, cuts, low, min(n, low + block))
             at = 0
             for i in range(low, min(n, low + block)):
-                if i:
-                    slot = arriving[i % (LONGEST + 1)]
-                    forward[i] = _log_sum([forward[i - 1], *slot])
-                    slot.clear()
                 while at < len(where) and where[at] == i:
-                    arriving[ends[at] % (LONGEST + 1)].append(forward[i] + whole[at])
+                    j, score = ends[at], best[i] + scores[at]
+                    if score > best[j]:
+                        best[j], came[j], kind[j] = score, i, kinds[at]
                     at += 1
-        total = forward[n] = _log_sum([forward[n - 1], *arriving[n % (LONGEST + 1)]])
-        found = []
-        for low in range((n - 1) // block * block, -1, -block):
-            where, ends, scores, whole = held[1] if held[0] == low else self._segments(
-                text, cuts, low, min(n, low + block))
-            at = len(where) - 1
-            for i in range(min(n, low + block) - 1, -1 + low, -1):
-                parts = [backward[i + 1]]
-                while at >= 0 and where[at] == i:
-                    j = ends[at]
-                    parts.append(backward[j] + whole[at])
-                    if forward[i] + whole[at] + backward[j] - total >= _LOG_SURE:
-                        shares = np.exp(scores[at] + (forward[i] + backward[j] - total))
-                        kind = int(shares.argmax())
-                        if shares[kind] >= SURE:
-                            found.append((KINDS[kind], cuts[i], cuts[j]))
-                    at -= 1
-                backward[i] = _log_sum(parts)
-        return reversed(found)
+                if best[i] >= best[i + 1]:
+                    best[i + 1], came[i + 1] = best[i], -1
+        found, j = [], n
+        while j > 0:
+            if came[j] >= 0:
+                found.append((KINDS[kind[j]], cuts[came[j]], cuts[j]))
+                j = came[j]
+            else:
+                j -= 1
+        return found[::-1]
 
     def _segments(self, text: str, cuts: array, low: int, high: int):
-        """First token, end, scores and log of summed scores of segments from [low, high)."""
+        """First token, end, score beyond the odds and kind of segments from [low, high)."""
         where, ends, rows = [], [], []
         n = len(cuts) - 1
         for i in range(low, high):
@@ -268,23 +281,23 @@ class SegmentField:
                     ends.append(j + 1)
                     rows.append(features(text, cuts[i], cuts[j + 1]))
         scores = np.array(rows).reshape(-1, FEATURES) @ self.weights
-        return where, ends, scores, np.logaddexp.reduce(scores, axis=1).tolist()
+        return where, ends, (scores.max(axis=1) - _ODDS).tolist(), scores.argmax(axis=1).tolist()
 
     def more(self, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-        """Sure segments of the text outside the spans ``taken``, sorted by their start."""
+        """Segments of the text outside the spans ``taken``, sorted by their start."""
         near = 0
         for start, end in stretches(text):
             at = start
             while near < len(taken) and taken[near][0] < end:
                 a, b = taken[near]
                 if at < a and _TRIGGER.search(text, at, a):
-                    yield from self.sure(text, at, a)
+                    yield from self.parse(text, at, a)
                 at = max(at, min(b, end))
                 if b > end:  # reaches over the stretch: the next one meets it too
                     break
                 near += 1
             if at < end and _TRIGGER.search(text, at, end):
-                yield from self.sure(text, at, end)
+                yield from self.parse(text, at, end)
 
 
 def _log_sum(values: list[float]) -> float:
@@ -303,28 +316,80 @@ def all_spans(text: str, model: SegmentField) -> list[tuple[str, int, int, bool]
     return out
 
 
-def _labelled(text: str, start: int, end: int) -> tuple[Stretch, dict]:
-    """A stretch with its base matches as gold segments (the widest where they overlap)."""
-    stretch = Stretch.of(text, start, end)
-    first = {a: i for i, (a, _) in enumerate(stretch.tokens)}
-    last = {b: i + 1 for i, (_, b) in enumerate(stretch.tokens)}
-    gold: dict[tuple[int, int], int] = {}
-    free = 0
-    spans = [(a, b, n) for n, k in enumerate(KINDS) for a, b in base_spans(text)[k]]
-    for a, b, n in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if a in first and b in last and first[a] >= free and last[b] - first[a] <= LONGEST:
-            gold[first[a], last[b]] = n
-            free = last[b]
-    return stretch, gold
+def disturbed(kind: str, value: str) -> list[str]:
+    """Ways to write a base match that no base pattern has."""
+    if kind == "phone":
+        bare = value[1:]
+        return [bare, "00" + bare, re.sub("[-.]", " ", bare), re.sub("[- ]", ".", bare)]
+    if kind == "card":
+        digits = _DIGITS.sub("", value)
+        groups = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        return [mark.join(groups) for mark in (".", "/", "_", ", ")]
+    if kind == "ip":
+        return [value.replace(".", mark) for mark in ("[.]", "(.)", ",", "-")]
+    name, _, domain = value.partition("@")
+    return [f"{name} @ {domain}", f"{name}@ {domain}", f"{name} @{domain}"]
+
+
+def _labelled(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[Stretch, dict]]:
+    """The stretches of a text with the given spans as gold segments."""
+    out = []
+    for start, end in stretches(text):
+        stretch = Stretch.of(text, start, end)
+        first = {a: i for i, (a, _) in enumerate(stretch.tokens)}
+        last = {b: i + 1 for i, (_, b) in enumerate(stretch.tokens)}
+        out.append((stretch, {
+            (first[a], last[b]): KINDS.index(kind) for a, b, kind in spans
+            if a in first and b in last and last[b] - first[a] <= LONGEST}))
+    return out
+
+
+def examples(piece: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """A piece with its base matches disturbed, each way in turn, and its new spans.
+
+    Matches that overlap another one are left out of it; what a base pattern still finds
+    after being disturbed is masked, as it is when a text is read.
+    """
+    spans = sorted((a, b, k) for k in KINDS for a, b in base_spans(piece)[k])
+    if any(x[1] > y[0] for x, y in zip(spans, spans[1:], strict=False)):
+        return []
+    out = []
+    for way in range(4 if spans else 1):
+        text, new, done = "", [], 0
+        for a, b, kind in spans:
+            ways = disturbed(kind, piece[a:b])
+            text += piece[done:a]
+            new.append((len(text), len(text) + len(ways[way % len(ways)]), kind))
+            text += ways[way % len(ways)]
+            done = b
+        text += piece[done:]
+        base = [x for k in KINDS for x in base_spans(text)[k]]
+        if not any(a < y and x < b for a, b, _ in new for x, y in base):
+            for a, b in base:
+                text = text[:a] + " " * (b - a) + text[b:]
+            out.append((text, new))
+    return out
+
+
+def windows(text: str, start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """A stretch in parts of at most ``size`` characters, cut at a space where there is one."""
+    while end - start > size:
+        cut = text.rfind(" ", start + 1, start + size)
+        cut = start + size if cut < 0 else cut
+        yield start, cut
+        start = cut
+    yield start, end
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        texts: int = SAMPLE_TEXTS, most: int = SAMPLE_STRETCHES) -> SegmentField:
+        texts: int = SAMPLE_TEXTS, most: int = SAMPLE_STRETCHES, window: int = WINDOW
+        ) -> SegmentField:
     """A field fitted on stretches of at most ``texts`` texts, labelled by the base patterns.
 
     The texts are those with the smallest hash of the id among about as many, the
-    stretches those with the smallest hash of their characters; both bounds are
-    parameters. Nothing to learn from gives a field that adds nothing.
+    stretches, ``most`` with a base match and ``most`` without, those with the smallest
+    hash of their characters, in windows of ``window`` characters with the word on either
+    side; these bounds are parameters. Nothing to learn from gives a field that adds nothing.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     n = rows.count()
@@ -335,15 +400,26 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def step(group):
         for row in group:
-            for start, end in stretches(row["text"]):
-                if end - start <= 400:
-                    yield {"piece": row["text"][max(0, start - 1):end + 1],
-                           "at": min(start, 1), "size": end - start}
-
-    found = map_rows(picked.select("text"), step, "piece string, at int, size int", weigh="text")
-    sample = found.distinct().orderBy(F.xxhash64("piece"), "piece", "at").limit(most).collect()
-    data = [_labelled(r["piece"], r["at"], r["at"] + r["size"]) for r in sample]
-    return SegmentField().fit(data)
+            text = row["text"]
+            for a, b in stretches(text):
+                for start, end in windows(text, a, b, window):
+                    piece = text[max(0, text.rfind(" ", max(0, start - 30), max(0, start - 1)) + 1):end]
+                    more = _CHUNK.match(text, end + 1, end + 31)
+                    piece += text[end:more.end()] if more else ""
+                    yield {"piece": piece, "based": any(base_spans(piece).values())}
+
+    found = map_rows(picked.select("text"), step, "piece string, based boolean", weigh="text").distinct()
+    data = []
+    for based in (True, False):
+        sample = found.filter(F.col("based") == based).orderBy(
+            F.xxhash64("piece"), "piece").limit(most).collect()
+        data += [x for r in sample for text, spans in examples(r["piece"]) for x in _labelled(text, spans)]
+    return learned(data)
+
+
+def learned(data: list[tuple[Stretch, dict[tuple[int, int], int]]]) -> SegmentField:
+    """A field fitted to labelled stretches; without a segment among them one that adds nothing."""
+    return SegmentField().fit(data) if any(gold for _, gold in data) else SegmentField()
 
 
 def find(df: DataFrame, model: SegmentField, id_col: str = "doc_id",
