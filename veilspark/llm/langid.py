@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,10 +22,10 @@ from .common import map_rows
 from .words import Encodings, held
 
 ORDER = 4
-#: Labelled texts per language that the trees are fitted on, at most.
-PER_LANGUAGE = 1000
-#: A word longer than this is scored in pieces of this many bytes.
-LONGEST = 64
+#: Labelled texts per language that the trees are fitted on, and bytes of them, at most.
+PER_LANGUAGE, BYTES_PER_LANGUAGE = 1000, 16_000_000
+#: Grams of a long word are added up this many at a time.
+AT_ONCE = 100_000
 UNKNOWN = "und"
 END = b" "
 
@@ -69,25 +69,41 @@ class ContextTrees:
             yield np.array([self.bits(t, g[:-1], g[-1]) for t in self.trees]).tobytes()
 
     @staticmethod
-    def grams_of(word: str) -> list[bytes]:
-        raw = word.encode()
-        out = []
-        for at in range(0, len(raw), LONGEST):
-            b = END + raw[at:at + LONGEST] + END
-            out += [b[max(0, i - ORDER):i + 1] for i in range(1, len(b))]
-        return out
+    def grams_of(word: str, first: int = 0, most: int | None = None) -> list[bytes]:
+        """The grams of a word's bytes, its end included, from byte ``first`` on."""
+        b = END + word.encode() + END
+        end = len(b) if most is None else min(len(b), 1 + first + most)
+        return [b[max(0, i - ORDER):i + 1] for i in range(1 + first, end)]
 
     def _score_words(self, words: list[str]):
         step, wide = 20_000, len(self.languages)
         for at in range(0, len(words), step):
-            cut = [self.grams_of(w) for w in words[at:at + step]]
+            part = words[at:at + step]
+            # a long word is a run of its own: nothing is cut, its grams come in slices
+            cut = [self.grams_of(w) if len(w) <= AT_ONCE else [] for w in part]
             table = self.grams.table({g for grams in cut for g in grams})
-            costs = np.frombuffer(b"".join(
-                [table[g] for grams in cut for g in grams])).reshape(-1, wide)
-            starts = np.cumsum([0] + [len(g) for g in cut[:-1]])
-            for row in np.add.reduceat(costs, starts, axis=0):
+            costs = [table[g] for grams in cut for g in grams]
+            total = np.zeros((len(part), wide))
+            if costs:
+                costs = np.frombuffer(b"".join(costs)).reshape(-1, wide)
+                short = [i for i, grams in enumerate(cut) if grams]
+                starts = np.cumsum([0] + [len(cut[i]) for i in short[:-1]])
+                total[short] = np.add.reduceat(costs, starts, axis=0)
+            for i, word in enumerate(part):
+                if not cut[i]:
+                    total[i] = self._score_long(word)
+            for row in total:
                 yield row.tobytes()
 
+    def _score_long(self, word: str) -> np.ndarray:
+        total, first = np.zeros(len(self.languages)), 0
+        while grams := self.grams_of(word, first, AT_ONCE):
+            table = self.grams.table(set(grams))
+            total += np.frombuffer(b"".join(map(table.__getitem__, grams))).reshape(
+                -1, len(self.languages)).sum(axis=0)
+            first += len(grams)
+        return total
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, probability) of each text; ties go to the first name."""
         cut = [words_of(t) if self.languages and any(map(str.isalpha, t)) else []
@@ -107,13 +123,13 @@ class ContextTrees:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = PER_LANGUAGE) -> ContextTrees:
+        per_language: int = PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> ContextTrees:
     """Trees from at most ``per_language`` labelled texts a language, whole texts.
 
     The sample is the texts with the smallest hash of the id, so it is the same on every
-    run. Words are counted in Spark; only (language, word, count) of the sample comes to
-    the driver, and the trees' size is bounded by it. Rows with a null id, text or label
-    are left out.
+    run; it ends before the text that takes it over ``most_bytes``. Words are counted in
+    Spark; only (language, word, count) of the sample comes to the driver, and the trees'
+    size is bounded by it. Rows with a null id, text or label are left out.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                      F.col(lang_col).alias("lang")).filter(
@@ -129,11 +145,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         .withColumn("n", F.row_number().over(
             Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")))
         .filter(F.col("n") <= per_language)
+        .withColumn("size", F.sum(F.octet_length("text")).over(
+            Window.partitionBy("lang").orderBy("n")))
+        .filter(F.col("size") <= most_bytes)
     )
-    counted = (
-        picked.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        .filter("word != ''").groupBy("lang", "word").count()
-    )
+
+    def count(group):
+        found = defaultdict(Counter)
+        for row in group:
+            found[row["lang"]].update(words_of(row["text"]))
+        return ({"lang": lang, "word": word, "n": n}
+                for lang, words in found.items() for word, n in words.items())
+
+    # words are the same here as when a text is told
+    counted = map_rows(picked.select("lang", "text"), count, "lang string, word string, n long",
+                       weigh="text").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     trees: dict = {r["lang"]: defaultdict(lambda: defaultdict(int)) for r in sizes}
     for lang, word, n in counted.collect():
         tree = trees[lang]
@@ -150,9 +176,10 @@ def predict(df: DataFrame, trees: ContextTrees, id_col: str = "doc_id",
 
     Only the text is looked at. A null text, or one without a letter, gives ``und`` and
     score 0; so does every text if there was nothing to learn from. With ``keep`` the
-    rows are returned whole, with the two columns added. Repeated rows stay; an empty
-    table stays empty.
+    rows are returned whole, with the two columns added; columns of these names make
+    place. Repeated rows stay; an empty table stays empty.
     """
+    df = df.drop("lang_pred", "score") if keep else df
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, dict(
         zip(trees.languages, trees.trees, strict=True))))
     rows = df if keep else df.select(F.col(id_col), F.col(text_col))

@@ -1,10 +1,11 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Groups (rows with equal text) are sorted by size and enter the bin with the least room
-that still takes them; a balanced tree keeps the bins by room. Groups are too many for one
-task, so small ones are first packed into bundles, by the same method, in tasks of a
-bounded number of groups; bundles and large groups then enter the shards. The number of
-these is bounded by parameters: bundles that are still too many are bundled again.
+that still takes them; a balanced tree keeps the bins by room. Up to ``ITEMS`` groups enter
+the shards at once. More are too many for one task, so small ones are first packed into
+bundles, by the same method, in tasks of a bounded number of groups; bundles and large
+groups then enter the shards. The number of these is bounded by parameters: bundles that are
+still too many are bundled again.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def assign_groups(groups: DataFrame, shards: int, name: str = "shards") -> DataF
     steps = []
     items = groups
     capacity = max(4, (total or 0) // (shards * PER_SHARD))
-    while n > ITEMS or not steps:
+    while n > ITEMS:  # else all groups enter the shards by size at once
         bundled = materialize(_bundled(items, capacity, -(-n // GROUPS_PER_TASK) or 1),
                               f"{name}-bundles")
         steps.append(bundled.select("item", "bundle"))
