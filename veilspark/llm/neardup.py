@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from veilspark.operators.skew import is_small
 from veilspark.session import materialize
 
 from .graph import components, spread_minimum
-from .vectors import longs, matrix, packed, rows_of, usable
+from .vectors import longs, matrix, packed, rows_of, scaled, usable
 
 TILE = 2048
 #: Room for rounding in the bounds, far above that of double precision.
@@ -40,6 +41,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def tile_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
     """Index pairs (i, j) of x and y with cosine >= threshold, a few rows of x at a time."""
+    x, y = scaled(x), scaled(y)
     qx, sx, nx, ex = quantise(x)
     qy, sy, ny, ey = quantise(y)
     long_x, long_y = (np.sqrt((a * a).sum(axis=1)) for a in (x, y))
@@ -86,23 +88,32 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
         f"{name}-rows")
     # unit vectors with this cosine are at most `apart` from each other
     apart = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    way = F.transform("vec", lambda x, i: x * F.when(
+    # by the largest component, as squares of huge or tiny ones leave the range
+    most = F.array_max(F.transform("vec", F.abs))
+    unit = F.transform("vec", lambda x: x / F.col("_most"))
+    way = F.transform("_unit", lambda x, i: x * F.when(
         F.pmod(F.xxhash64(i), F.lit(2)) == 0, 1.0).otherwise(-1.0))
     plus = lambda a, b: a + b
     along = F.aggregate(way, F.lit(0.0), plus) / F.sqrt(
-        F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0), plus)
+        F.aggregate(F.transform("_unit", lambda x: x * x), F.lit(0.0), plus)
     ) / F.sqrt(F.col("dim").cast("double"))
     nodes = materialize(
         rows.filter("fit").groupBy("label", "dim", "h1", "h2").agg(
             F.min("id").alias("node"), F.count("*").alias("copies"),
             F.min_by("vec", "id").alias("vec"))
-        .withColumn("slab", F.floor(along / apart).cast("long")), f"{name}-nodes")
+        .withColumn("_most", most).withColumn("_unit", unit)
+        .withColumn("slab", F.floor(along / apart).cast("long")).drop("_most", "_unit"),
+        f"{name}-nodes")
     tiles = nodes.groupBy("label", "dim", "slab").agg(
         F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
-    blocks = materialize(packed(
-        nodes.join(tiles, ["label", "dim", "slab"]).withColumn(
-            "tile", F.pmod(F.xxhash64("node"), F.col("tiles"))),
-        ["label", "dim", "slab", "tile"], ["node", "copies", "vec"], "rows"), f"{name}-blocks")
+    numbered = nodes.join(
+        F.broadcast(tiles) if is_small(tiles) else tiles, ["label", "dim", "slab"]).withColumn(
+        "tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    keys = ["label", "dim", "slab", "tile"]
+    # dealt by tile, however the counts came to the rows: a task holds tiles, not slabs
+    blocks = materialize(
+        packed(numbered.repartition(*keys), keys, ["node", "copies", "vec"], "rows"),
+        f"{name}-blocks")
     meta = blocks.select("label", "dim", "slab", "tile")
     pairs = (
         meta.withColumn("slab2", F.explode(F.array("slab", F.col("slab") + 1)))

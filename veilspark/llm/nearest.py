@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from veilspark.session import materialize
 
-from .vectors import longs, matrix, packed, rows_of, usable
+from .vectors import longs, matrix, packed, rows_of, scaled, usable
 
 BLOCK = 8192  # vectors of one kd-tree
 BATCH = 2048  # queries that meet a block together
@@ -46,10 +46,15 @@ class Block:
         ids, x = ids[order], np.ascontiguousarray(x[order] + 0.0)  # -0.0 becomes 0.0
         raw = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
         _, first, which = np.unique(raw, return_index=True, return_inverse=True)
-        self.x = x[first]
+        self.given = x[first]
+        # all rows by one power of two, so that products with a query compare
+        most = float(np.abs(self.given).max())
+        odd = most > 1e100 or most < 1e-100
+        self.x = np.ldexp(self.given, -math.frexp(most)[1]) if odd else self.given
         order = np.argsort(which, kind="stable")
         self.ids = ids[order]
         self.starts = np.searchsorted(which[order], np.arange(len(first) + 1))
+        self.least = self.ids[self.starts[:-1]]  # the smallest id of each vector
         squares = (self.x ** 2).sum(axis=1)
         self.bound = float(squares.max())
         lifted = np.column_stack([self.x, np.sqrt(np.maximum(0, self.bound - squares))])
@@ -70,6 +75,7 @@ class Block:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query row, vec_id, score) of the k best found for every query."""
         n, keep = len(queries), k + 1  # one more: a query may find itself
+        given, queries = queries, scaled(queries)
         lifted = np.column_stack([queries, np.zeros(n)])
         low = lifted @ directions(lifted.shape[1])
         gap = np.maximum(self.boxes[None, :, 0] - low[:, None], 0) + np.maximum(
@@ -96,13 +102,14 @@ class Block:
                 rows, members = alive[group], self.leaves[leaf[group[0]]]
                 both = np.hstack([best[rows], queries[rows] @ self.x[members].T])
                 names = np.hstack([who[rows], np.broadcast_to(members, (len(rows), len(members)))])
-                top = np.argpartition(-both, keep - 1, axis=1)[:, :keep]
+                # of equal products the smaller ids stay
+                top = np.lexsort((self.least[names], -both), axis=1)[:, :keep]
                 best[rows] = np.take_along_axis(both, top, axis=1)
                 who[rows] = np.take_along_axis(names, top, axis=1)
         row, column = np.nonzero(who >= 0)
         found = who[row, column]
         # the score is summed in one order for all, so that equal vectors have equal scores
-        score = (queries[row] * self.x[found]).sum(axis=1)
+        score = (given[row] * self.given[found]).sum(axis=1)
         out_row, out_id, out_score = [], [], []
         count = np.minimum(self.starts[found + 1] - self.starts[found], keep)
         for extra in range(keep):
@@ -137,12 +144,13 @@ def nearest(queries: DataFrame, df: DataFrame, k: int = 20, id_col: str = "vec_i
     Vectors that are null, zero or hold null or non-finite components, and null ids, take
     no part; only vectors with as many components as the query can be found. Of query
     rows that repeat an id one is asked; repeated rows of ``df`` are each found. Fewer
-    than k candidates are all returned; an empty side gives no rows. Other columns are
-    left out.
+    than k candidates are all returned; an empty side gives no rows. Products beyond the
+    range of doubles count as infinite or zero. Other columns are left out.
 
     Blocks are dealt by a hash of the id, so copies of one vector are spread over all of
-    them and are one node in each. Every block meets every batch of queries; a block
-    answers with at most k rows per query.
+    them and are one node in each. A block travels once: its tree is built in the task that
+    gets it, and all batches of queries stream past it there. A block answers with at most k
+    rows per query.
     """
     vectors = lambda d: d.select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")
@@ -150,26 +158,30 @@ def nearest(queries: DataFrame, df: DataFrame, k: int = 20, id_col: str = "vec_i
     asked, given = vectors(queries).dropDuplicates(["id"]), vectors(df)
 
     def dealt(rows: DataFrame, size: int, key: str) -> DataFrame:
+        # one row for each number of components there is; never a join that gathers them
         parts = rows.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
-        return packed(
-            rows.join(parts, "dim").withColumn(key, F.pmod(F.xxhash64("id"), F.col("parts"))),
-            ["dim", key], ["id", "vec"], key + "_rows")
+        numbered = rows.join(F.broadcast(parts), "dim").withColumn(
+            key, F.pmod(F.xxhash64("id"), F.col("parts")))
+        return packed(numbered, ["dim", key], ["id", "vec"], "rows")
 
     blocks = materialize(dealt(given, block, "block"), f"{name}-blocks")
     batches_of = materialize(dealt(asked, batch, "batch"), f"{name}-queries")
-    pairs = blocks.select("dim", "block").join(batches_of.select("dim", "batch"), "dim")
-    met = (
-        pairs.join(blocks, ["dim", "block"]).join(batches_of, ["dim", "batch"])
-        .repartition("dim", "block", "batch").select("block_rows", "batch_rows")
-    )
+    trees = blocks.select("dim", "block", F.lit(-1).cast("long").alias("batch"), "rows")
+    wanted = blocks.select("dim", "block").join(batches_of, "dim").select(
+        "dim", "block", "batch", "rows")
+    met = trees.unionByName(wanted).repartition("dim", "block").sortWithinPartitions(
+        "dim", "block", "batch")
 
     def search(batches):
+        tree = None
         for part in batches:
             for i in range(part.num_rows):
-                rows, ask = rows_of(part.column(0), i), rows_of(part.column(1), i)
-                tree = Block(longs(rows, "id"), matrix(rows))
-                ids = longs(ask, "id")
-                row, found, score = tree.search(ids, matrix(ask), k)
+                rows = rows_of(part.column("rows"), i)
+                ids, x = longs(rows, "id"), matrix(rows)
+                if part.column("batch")[i].as_py() < 0:
+                    tree = Block(ids, x)
+                    continue
+                row, found, score = tree.search(ids, x, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row]), pa.array(found), pa.array(score)],
                     ["query_id", "vec_id", "score"])

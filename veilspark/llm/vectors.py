@@ -6,10 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Batches of packed blocks handed to Python hold few rows, as each row is a whole block.
-BLOCK_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def usable(vec: str) -> Column:
     """Whether a vector is there, not zero, and all of its components are finite."""
     odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -17,6 +13,19 @@ def usable(vec: str) -> Column:
         F.col(vec).isNotNull() & ~odd & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares of huge or tiny components stay in range.
+
+    Products with such a row change by the power alone: which is larger, and every cosine,
+    stays as it was. Rows in no danger are left as they are.
+    """
+    if not x.size:
+        return x
+    most = np.abs(x).max(axis=1)
+    odd = (most > 1e100) | (most < 1e-100)
+    return np.ldexp(x, -np.where(odd, np.frexp(most)[1], 0)[:, None]) if odd.any() else x
+
+
 def packed(df: DataFrame, keys: list[str], fields: list[str], out: str) -> DataFrame:
     """One row per block with its rows as an array; a block has a bounded number of rows."""
     return df.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias(out))
