@@ -42,14 +42,24 @@ ASIDE_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|"
     r"menus?|sidebar|side|footer|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|"
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup|modal|overlay|newsletter|"
-    r"subscribe|subscription|share|sharing|social|related|recommend\w*|breadcrumbs?|"
-    r"pagination|pager|login|signup|search|widgets?|toolbar|skip)(?:[-_ ]|$)", re.IGNORECASE)
+    r"subscribe|subscription|share|sharing|social|related|recommend\w*|breadcrumbs?|responses?|"
+    r"threads?|reactions?|pagination|pager|login|signup|search|widgets?|toolbar|skip)(?:[-_ ]|$)",
+    re.IGNORECASE)
+#: Names that an article's own parts may have as well; they do not count beside a name of
+#: ``ARTICLE_NAMES``, nor in an article for a part that is text and not links.
+LOOSE_NAMES = frozenset("search related recommended recommend side".split())
+ARTICLE_NAMES = frozenset("post article entry content story main".split())
+TEXT_LEAST, LINKS_MOST = 200, 0.2
 # A tag with its quotes in pairs, without giving back; else one that ends at the next ">".
 _TAG = re.compile(
     r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ODD_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
 _ATTRIBUTE = re.compile(
-    r"(?:^|\s)(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+    r"(?:^|\s)(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+_COMMENT_END = re.compile("--!?>")
 
 
 @dataclass
@@ -65,6 +75,8 @@ class Node:
     path: str
     aside: bool
     inside: bool  # the article or main element, or in one
+    loose: bool = False  # aside by a loose name alone, until its text is known
+    inherited: bool = False  # aside only because what it hangs in is
     score: float = 0.0
     last: int = 0  # the last node of the subtree
 
@@ -110,8 +122,11 @@ def parse(source: str) -> Page:
         if lt == end:
             break
         if source.startswith("<!--", lt):
-            stop = source.find("-->", lt + 4)
-            at = end if stop < 0 else stop + 3
+            if source[lt + 4:lt + 5] == ">" or source[lt + 4:lt + 6] == "->":  # ends at once
+                at = source.index(">", lt) + 1
+                continue
+            stop = _COMMENT_END.search(source, lt + 4)
+            at = end if stop is None else stop.end()
             continue
         if source[lt + 1:lt + 2] in ("!", "?"):
             stop = source.find(">", lt)
@@ -150,7 +165,7 @@ def parse(source: str) -> Page:
         if tag in VOID or m.group(3).endswith("/"):
             continue
         if tag in CONTAINERS or tag in ASIDE or (tag in NAMED and (
-                opened[tag] > 0 or _named_aside(_names(m.group(3))))):
+                opened[tag] > 0 or _aside(m.group(3)))):
             close_block()
             if tag == "body":  # ends the head, whatever is left open there
                 depth = len(stack)
@@ -166,35 +181,80 @@ def parse(source: str) -> Page:
         if node.parent >= 0:
             above = page.nodes[node.parent]
             above.last = max(above.last, node.last)
+    _settle(page)
     return page
 
 
 def _names(attributes: str) -> dict[str, str]:
-    named = {"class": "", "id": "", "role": ""}
+    named = {"class": "", "id": "", "role": "", "style": ""}
     for m in _ATTRIBUTE.finditer(attributes):
         named[m.group(1).lower()] = html.unescape(m.group(2) or m.group(3) or m.group(4) or "")
     return named
 
 
-def _named_aside(named: dict[str, str]) -> bool:
-    return named["role"].lower() in ASIDE_ROLES or bool(
-        ASIDE_NAMES.search(f"{named['class']} {named['id']}"))
+def _named_aside(named: dict[str, str]) -> str:
+    """"" for names of an article's parts, "aside" for others, "loose" where it may be either."""
+    names = f"{named['class']} {named['id']}".lower()
+    if named["role"].lower() in ASIDE_ROLES:
+        return "aside"
+    found = [m.group().strip("-_ ").lower() for m in ASIDE_NAMES.finditer(names)]
+    if not found:
+        return ""
+    if any(word not in LOOSE_NAMES for word in found):
+        return "aside"
+    return "" if ARTICLE_NAMES & set(names.split()) else "loose"
+
+
+def _hidden(attributes: str, named: dict[str, str]) -> bool:
+    return bool(_NOT_SHOWN.search(named["style"])) or (
+        "hidden" in attributes.lower() and bool(_HIDDEN.search(_QUOTED.sub('""', attributes))))
+
+
+def _aside(attributes: str) -> bool:
+    named = _names(attributes)
+    return bool(_named_aside(named)) or _hidden(attributes, named)
 
 
 def _open(page: Page, parent: int, tag: str, attributes: str) -> int:
     above = page.nodes[parent]
     named = _names(attributes)
     inside = above.inside or tag in ("article", "main")
-    aside = above.aside or tag in ASIDE or (tag == "header" and not above.inside) or (
-        named["role"].lower() in ASIDE_ROLES) or (
-        tag not in ("html", "body", "main", "article") and _named_aside(named))
+    by_name = "" if tag in ("html", "body", "main", "article") else _named_aside(named)
+    own = tag in ASIDE or (tag == "header" and not above.inside) or (
+        named["role"].lower() in ASIDE_ROLES) or by_name == "aside" or _hidden(attributes, named)
+    loose = by_name == "loose" and not own
     classes = sorted({re.sub(r"[0-9]+", "", c.lower()) for c in named["class"].split()} - {""})
     name = f"{above.path}/{'.'.join([tag, *classes])}"
     path = hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=16).hexdigest()
-    page.nodes.append(Node(parent, tag, path, aside, inside))
+    page.nodes.append(Node(parent, tag, path, above.aside or own or loose, inside, loose=loose,
+                           inherited=above.aside and not own and not loose))
     return len(page.nodes) - 1
 
 
+def _settle(page: Page) -> None:
+    """Parts of an article with a loose name stay if they are text and not links."""
+    if not any(n.loose and n.inside for n in page.nodes):
+        return
+    size, links = [0] * len(page.nodes), [0] * len(page.nodes)
+    for (at, words), linked in zip(page.blocks, page.linked, strict=True):
+        size[at] += len(words)
+        links[at] += linked
+    for i in range(len(page.nodes) - 1, 0, -1):
+        parent = page.nodes[i].parent
+        size[parent] += size[i]
+        links[parent] += links[i]
+    freed: list[int] = []
+    for i, node in enumerate(page.nodes):
+        while freed and page.nodes[freed[-1]].last < i:
+            freed.pop()
+        if node.loose and node.inside and size[i] >= TEXT_LEAST and links[i] <= LINKS_MOST * size[i] and (
+                not page.nodes[node.parent].aside):
+            node.aside = False
+            freed.append(i)
+        elif freed and node.inherited:
+            node.aside = page.nodes[node.parent].aside
+
+
 def score(page: Page) -> None:
     """Text outside links counts for its container whole and half for the one around it."""
     for (at, words), linked in zip(page.blocks, page.linked, strict=True):
