@@ -110,6 +110,24 @@ def page(store: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return rows.withColumn("total", total.scalar())
 
 
+def page_after(store: DataFrame, limit: int = 100,
+               after: tuple[datetime, str, str] | None = None) -> DataFrame:
+    """The next page, newest first, behind the last row of the one before.
+
+    ``after`` is that row's (first_seen, original_hash, entity_type). However far the page,
+    no task sorts more than ``limit`` rows, and the test on the time reaches the files.
+    """
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be 1 to {MAX_PAGE}")
+    rows = store
+    if after is not None:
+        seen = F.lit(after[0]).cast("timestamp_ntz")
+        key = (F.col("original_hash") > after[1]) | (
+            (F.col("original_hash") == after[1]) & (F.col("entity_type") > after[2]))
+        rows = store.filter((F.col("first_seen") <= seen) & ((F.col("first_seen") < seen) | key))
+    return rows.orderBy(F.desc("first_seen"), *KEY).limit(limit)
+
+
 def get(store: DataFrame, number: int | Column) -> DataFrame:
     return store.filter(F.col("mapping_id") == number)
 

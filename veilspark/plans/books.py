@@ -145,6 +145,17 @@ def mapping_types(spark, folder):
     return mapping.types(_store(spark, folder))
 
 
+@query("mapping_page_after", STORE + """select * from store qualify row_number() over (order by first_seen desc, original_hash, entity_type) between 101 and 150""")
+def mapping_page_after(spark, folder):
+    """The third page of fifty, each continued behind the last row of the one before."""
+    store, last = _written(spark, folder), None
+    for _ in range(2):
+        rows = mapping.page_after(store, 50, last).orderBy(F.desc("first_seen"), *mapping.KEY).collect()
+        if rows:
+            last = (rows[-1]["first_seen"], rows[-1]["original_hash"], rows[-1]["entity_type"])
+    return mapping.page_after(store, 50, last)
+
+
 @query("substitute_collisions", STORE + """select entity_type, substitute, count(*) as "values" from store
  group by 1, 2 having count(*) > 1""")
 def substitute_collisions(spark, folder):

@@ -40,7 +40,7 @@ def _json_rows() -> str:
 
 
 ALL = f"{REC}, {_FIELDS}, {_json_rows()}, every as (select * from vals union all select * from jvals)"
-SRC = "src as (select row_number() over (order by value) as id, value as text from (select distinct value from every))"
+SRC = "src as materialized (select row_number() over () as id, value as text from (select distinct value from every))"
 WORDS = (f"with {ALL}, {SRC},\n{o.detections('src')},\n{o.resolved('src')},\n{o.keyed()},\n"
          f"{o.rewritten('src')},\nwords as (select text as value, anonymized_text as cleaned from src join done using (id))\n")
 
