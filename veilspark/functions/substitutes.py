@@ -17,14 +17,15 @@ from .keys import draw, padded
 from .permutation import NUMBERED, prefix_preserving, unique_number
 from .pools import (
     BASE58,
-    CITIES,
     DEFAULT_LOCALE,
     GROUPS,
     NAME_PARTS,
     PHONE_FORMATS,
     STREET_SUFFIXES,
+    STREET_NAMES,
     STREETS,
     WALLET_PREFIXES,
+    cities_of,
     language_of,
 )
 
@@ -53,17 +54,28 @@ def person(h: Column, language: str) -> Column:
     )
 
 
-def place(h: Column) -> Column:
+def place(h: Column, locale: str = DEFAULT_LOCALE) -> Column:
     """A city with its coordinates: ``struct<name, latitude, longitude, country_code>``."""
+    cities = cities_of(locale)
     rows = ", ".join(
         f"named_struct('name', '{n}', 'latitude', '{la}', 'longitude', '{lo}', "
-        f"'country_code', '{cc}')" for n, la, lo, cc in CITIES)
-    return F.expr(f"array({rows})")[(draw(h, 0) % len(CITIES)).cast("int")]
+        f"'country_code', '{cc}')" for n, la, lo, cc in cities)
+    return F.expr(f"array({rows})")[(draw(h, 0) % len(cities)).cast("int")]
 
 
-def coordinate(value: Column, h: Column) -> Column:
+def street(h: Column, language: str) -> Column:
+    """A street with a number, on the side of it that the language has it on."""
+    number = (1 + draw(h, 0) % 9999).cast("string")
+    if language not in STREET_NAMES:
+        return F.concat_ws(" ", number, pick(STREETS, draw(h, 1)), pick(STREET_SUFFIXES, draw(h, 2)))
+    before, names = STREET_NAMES[language]
+    name = pick(names, draw(h, 1))
+    return F.concat_ws(" ", number, name) if before else F.concat_ws(" ", name, number)
+
+
+def coordinate(value: Column, h: Column, locale: str = DEFAULT_LOCALE) -> Column:
     far = F.abs(value.try_cast("double")) > 90
-    return let(place(h), lambda p: F.when(far, p["longitude"]).otherwise(p["latitude"]))
+    return let(place(h, locale), lambda p: F.when(far, p["longitude"]).otherwise(p["latitude"]))
 
 
 def card(h: Column) -> Column:
@@ -129,10 +141,8 @@ def generators(locale: str = DEFAULT_LOCALE) -> dict[str, Callable[[Column, Colu
                                                 70 + draw(h, 1) % 30, 1000 + draw(h, 2) % 9000),
         "US_PASSPORT": lambda v, h: F.concat(letter(draw(h, 0)), padded(draw(h, 1) % 10**8, 8)),
         "IP_ADDRESS": substitute_ip,
-        "LOCATION": lambda v, h: place(h)["name"],
-        "STREET_ADDRESS": lambda v, h: F.concat_ws(
-            " ", (1 + draw(h, 0) % 9999).cast("string"), pick(STREETS, draw(h, 1)),
-            pick(STREET_SUFFIXES, draw(h, 2))),
+        "LOCATION": lambda v, h: place(h, locale)["name"],
+        "STREET_ADDRESS": lambda v, h: street(h, language),
         "DATE_TIME": lambda v, h: F.date_format(
             F.date_add(F.lit("1970-01-01").cast("date"), (draw(h, 0) % 20000).cast("int")),
             "yyyy-MM-dd"),
@@ -143,7 +153,7 @@ def generators(locale: str = DEFAULT_LOCALE) -> dict[str, Callable[[Column, Colu
         "IBAN_CODE": lambda v, h: iban(h),
         "CRYPTO": lambda v, h: wallet(h),
         "GUID": lambda v, h: guid(h),
-        "COORDINATE": coordinate,
+        "COORDINATE": lambda v, h: coordinate(v, h, locale),
     }
 
 

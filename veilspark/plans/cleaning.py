@@ -184,6 +184,24 @@ def substitutes_locales(spark, folder):
     return values.select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 
+_PLACE_KINDS = ("LOCATION", "STREET_ADDRESS", "COORDINATE")
+
+
+@query("substitutes_places_locales", "with v as (select c_custkey as id, (c_custkey % 360 - 180)::varchar || '.5' as v, "
+       + f"{o.key('c_name', o.q('LOCATION'))} as h from customer) "
+       + " union all ".join(
+           f"select id, {o.q(c)} as locale, " + ", ".join(
+               f"{o.substitutes('v', 'h', c)[k]} as {k.lower()}" for k in _PLACE_KINDS) + " from v" for c in LOCALES))
+def substitutes_places_locales(spark, folder):
+    """Cities, streets and coordinates of every locale."""
+    values = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), F.expr("cast(c_custkey % 360 - 180 as string) || '.5'").alias("v"),
+        mapping_key(F.col("c_name"), F.lit("LOCATION")).alias("h"))
+    rows = F.array(*[F.struct(F.lit(c).alias("locale"), *[
+        substitute(F.col("v"), F.lit(k), F.col("h"), c, [k]).alias(k.lower()) for k in _PLACE_KINDS]) for c in LOCALES])
+    return values.select("id", F.explode(rows).alias("r")).select("id", "r.*")
+
+
 @query("substitutes_seeded", f"select c_custkey as id, {o.substitutes('c_name', o.key('c_name', o.q('PERSON'), 'pepper'))['PERSON']} as person from customer")
 def substitutes_seeded(spark, folder):
     key = mapping_key(F.col("c_name"), F.lit("PERSON"), "pepper")

@@ -17,13 +17,14 @@ from ..functions.patterns import (
 )
 from ..functions.pools import (
     BASE58,
-    CITIES,
     GROUPS,
     NAME_PARTS,
     PHONE_FORMATS,
     STREET_SUFFIXES,
+    STREET_NAMES,
     STREETS,
     WALLET_PREFIXES,
+    cities_of,
     language_of,
 )
 
@@ -258,8 +259,13 @@ def substitutes(v: str, h: str, locale: str = "en_US") -> dict[str, str]:
     seven = lambda k: pad(f"{u(h, k)} % 10000000", 7)
     card = f"'4' || {seven(0)} || {seven(1)}"
     iban_body = f"(({u(h, 0)} % 1000000000)::hugeint * 1000000000 + {u(h, 1)} % 1000000000)"
-    city = f"{u(h, 0)} % {len(CITIES)} + 1"
-    col = lambda i: f"({lst(c[i] for c in CITIES)})[{city}]"
+    cities = cities_of(locale)
+    city = f"{u(h, 0)} % {len(cities)} + 1"
+    col = lambda i: f"({lst(c[i] for c in cities)})[{city}]"
+    number = f"(1 + {u(h, 0)} % 9999)::varchar"
+    before, names = STREET_NAMES.get(language_of(locale), (True, ()))
+    street = (f"{pick(names, u(h, 1))}" if names
+              else f"{pick(STREETS, u(h, 1))} || ' ' || {pick(STREET_SUFFIXES, u(h, 2))}")
     return {
         "PERSON": f"{pick(fh, u(h, 0))} || {pick(ft, u(h, 1))} || ' ' || {pick(lh, u(h, 2))} || {pick(lt, u(h, 3))}",
         "EMAIL_ADDRESS": f"'user_' || substr({h}, 1, 10) || '@example.net'",
@@ -272,7 +278,7 @@ def substitutes(v: str, h: str, locale: str = "en_US") -> dict[str, str]:
         "US_PASSPORT": f"{letter(u(h, 0))} || {pad(f'{u(h, 1)} % 100000000', 8)}",
         "IP_ADDRESS": substitute_ip(v, h),
         "LOCATION": col(0),
-        "STREET_ADDRESS": f"(1 + {u(h, 0)} % 9999)::varchar || ' ' || {pick(STREETS, u(h, 1))} || ' ' || {pick(STREET_SUFFIXES, u(h, 2))}",
+        "STREET_ADDRESS": f"{number} || ' ' || {street}" if before else f"{street} || ' ' || {number}",
         "DATE_TIME": f"strftime(date '1970-01-01' + ({u(h, 0)} % 20000)::int, '%Y-%m-%d')",
         "NRP": pick(GROUPS, u(h, 0)),
         "MEDICAL_LICENSE": f"'ML' || {pad(f'{u(h, 0)} % 100000000', 8)}",
