@@ -177,6 +177,15 @@ def exported(rows: DataFrame) -> DataFrame:
         F.date_format("last_used", iso).alias("last_used"), "substitution_count")
 
 
+def export_summary(rows: DataFrame, since: datetime | None = None, until: datetime | None = None,
+                   entity_type: str | None = None) -> DataFrame:
+    """One row about an export: the filters it was made with, null where unset, and its total."""
+    iso = lambda at: None if at is None else at.strftime("%Y-%m-%dT%H:%M:%S")
+    return rows.agg(F.count("*").alias("total")).select(
+        F.lit(iso(since)).cast("string").alias("since"), F.lit(iso(until)).cast("string").alias("until"),
+        F.lit(entity_type).cast("string").alias("entity_type"), "total")
+
+
 def types(store: DataFrame) -> DataFrame:
     return store.select("entity_type").distinct().orderBy("entity_type")
 

@@ -11,7 +11,8 @@ from ..functions.keys import mapping_id
 from ..functions.spans import as_spans
 from ..operators import audit, config, mapping, stats
 from ..operators.cleaning import CleanConfig, clean_texts, with_spans, with_substitutions
-from ..session import materialize
+from ..session import fresh_path, materialize
+from ..sources import files
 from ..sources.derived import MESSAGES, Derived, table
 from . import oracle as o
 from .registry import query
@@ -140,6 +141,22 @@ def mapping_export(spark, folder):
     return mapping.exported(rows.orderBy(F.desc("last_used"), *mapping.KEY))
 
 
+_EXPORTED = f"""exported as (select mapping_id as id, original_hash, substitute, entity_type, {_ISO.format('first_seen')} as first_seen,
+ {_ISO.format('last_used')} as last_used, substitution_count from store
+ where last_used between timestamp '1996-01-01' and timestamp '1998-06-30' and entity_type = 'EMAIL_ADDRESS')"""
+
+
+@query("mapping_export_json", STORE + f""", {_EXPORTED} select 'mappings' as part, to_json({{'id': id, 'original_hash': original_hash, 'substitute': substitute,
+ 'entity_type': entity_type, 'first_seen': first_seen, 'last_used': last_used, 'substitution_count': substitution_count}})::varchar as line from exported
+ union all select 'summary', to_json({{'since': '1996-01-01T00:00:00', 'until': '1998-06-30T00:00:00', 'entity_type': 'EMAIL_ADDRESS', 'total': count(*)}})::varchar from exported""")
+def mapping_export_json(spark, folder):
+    """The export written as JSON with its filters and total, read back line by line."""
+    rows = mapping.last_used_between(_written(spark, folder), *_WINDOW, "EMAIL_ADDRESS")
+    path = fresh_path(spark, "export")
+    files.write_export(mapping.exported(rows), mapping.export_summary(rows, *_WINDOW, "EMAIL_ADDRESS"), path)
+    return files.read_export(spark, path)
+
+
 @query("mapping_types", STORE + "select distinct entity_type from store")
 def mapping_types(spark, folder):
     return mapping.types(_store(spark, folder))

@@ -277,6 +277,18 @@ def compare_samples(spark, folder):
     return compare.samples(_values(spark, folder), "entry")
 
 
+@query("compare_report", PAIRS + """, m as (select path as field, count(*) as changes from pairs where original <> cleaned group by 1),
+ s as (select entry, path as field, original, cleaned from pairs where original <> cleaned order by entry, position limit 20)
+select 'fields' as part, to_json({'field': field, 'changes': changes})::varchar as line from m
+ union all select 'samples', to_json({'entry': entry, 'field': field, 'original': original, 'cleaned': cleaned})::varchar from s""")
+def compare_report(spark, folder):
+    """The tables of a comparison, written and read back line by line."""
+    pairs = materialize(_values(spark, folder), "pairs")
+    path = fresh_path(spark, "report")
+    files.write_report({"fields": compare.by_field(pairs), "samples": compare.samples(pairs, "entry")}, path)
+    return files.read_report(spark, path, ["fields", "samples"])
+
+
 @query("compare_changed_entries", PAIRS + """select entry, count(*) as n, string_agg(path, ',' order by position) as columns
  from pairs where original <> cleaned group by 1""")
 def compare_changed_entries(spark, folder):

@@ -50,6 +50,42 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_export(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """An export as JSON lines: ``mappings`` in parts, and one line about it in ``summary``.
+
+    The summary comes last, so an export that has one is whole. Rows are written as they
+    are spread; nothing passes through one task but the summary's single row.
+    """
+    root = path.rstrip("/")
+    write_records(rows, f"{root}/mappings")
+    summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(
+        f"{root}/summary")
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an export as written: (part, line)."""
+    root = path.rstrip("/")
+    part = lambda name: spark.read.text(f"{root}/{name}").select(
+        F.lit(name).alias("part"), F.col("value").alias("line"))
+    return part("summary").unionByName(part("mappings"))
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """A comparison report: each table as JSON lines in a folder of its name."""
+    for name, rows in tables.items():
+        write_records(rows, f"{path.rstrip('/')}/{name}")
+
+
+def read_report(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The lines of a report's tables as written: (part, line)."""
+    out = None
+    for name in names:
+        rows = spark.read.text(f"{path.rstrip('/')}/{name}").select(
+            F.lit(name).alias("part"), F.col("value").alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def timespan(text: str) -> timedelta:
     """``30m``, ``24h`` or ``7d``."""
     found = re.fullmatch(r"(\d+)([mhd])", text.strip().lower())
