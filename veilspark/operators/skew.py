@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 SALTS = 32
 HOT_SHARE = 0.005
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than one row above."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes(field: T.StructField) -> Column:
+    """About the bytes of a value: exact for texts, as JSON for what is nested."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows and ``most_bytes`` bytes; reads no more than
+    one row above."""
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(size)).head()
+    return n <= rows and (total or 0) <= most_bytes
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
