@@ -231,8 +231,8 @@ class WordTokenizer:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.cut = regex.compile(split["pattern"]["Regex"]).findall if known else None
         self.model = self.tokenizer.model
-        self.pieces = Recent(self._pieces, limit=300_000)
-        self.words = Recent(self._words, limit=300_000)
+        self.pieces = Recent(self._pieces, limit=200_000)
+        self.words = Recent(self._words, limit=200_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), 20_000)
@@ -333,7 +333,7 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "do
 
     schema = (f"id {kind}, piece int, start long, length long, ids_crc32 long"
               + ", ids binary" * ids)
-    return map_rows(rows, step, schema, chars=2_000_000, weigh="text").withColumnRenamed(
+    return map_rows(rows, step, schema, chars=1_000_000, weigh="text").withColumnRenamed(
         "id", id_col)
 
 
