@@ -88,3 +88,10 @@ def test_config_round_trip(spark):
     assert kept["locale"] == "en_US" and kept["language"] == "de"
     none = configs.filter("id < 0")
     assert config.load_config(none, types).entity_types is None
+
+
+def test_comparison_is_never_broadcast(spark):
+    """The cleaned side is large however small Spark thinks it is."""
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string")
+    for made in (compare.paired_values(rows, rows, "id"), compare.changed_entries(rows, rows, "id")):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
