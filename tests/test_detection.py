@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.arrays import chunks, piece, running_max, running_sum
 from veilspark.functions.patterns import PATTERNS, select_patterns
+from veilspark.functions.spans import merge_overlaps
 from veilspark.operators.cleaning import CleanConfig, clean_texts, clean_value, detect, resolved
 
 SAMPLE = (
@@ -202,3 +203,25 @@ def test_pins_keep_every_row_and_only_replace(spark):
     two = sorted(r[0] for r in clean_with_store(texts, pins, config, literals=0).select(
         "anonymized_text").collect())
     assert one == two == ["PIN", "PIN [REDACTED]", "PIN [REDACTED]", "x"]
+
+
+def test_spans_that_touch_stay_apart_and_overlaps_merge(spark):
+    found = lambda *spans: F.expr("array({})".format(", ".join(
+        f"named_struct('start', {a}, 'neg_end', -{b}, 'rank', 1, 'entity_type', '{t}', 'score', 0.8D, "
+        f"'text', substr('abcdefghij', {a + 1}, {b - a}))" for t, a, b in spans)))
+    def merged(*spans):
+        row = spark.range(1).select(merge_overlaps(found(*spans), chunks(F.lit("abcdefghij"))).alias("s"))
+        return [(s["entity_type"], s["start"], s["end"], s["text"]) for s in row.first()["s"]]
+
+    assert merged(("A", 0, 2)) == [("A", 0, 2, "ab")]
+    assert merged(("A", 0, 2), ("B", 2, 5)) == [("A", 0, 2, "ab"), ("B", 2, 5, "cde")]
+    assert merged(("A", 0, 2), ("B", 1, 5), ("C", 5, 7), ("D", 6, 7)) == [
+        ("B", 0, 5, "abcde"), ("C", 5, 7, "fg")]
+
+
+def test_texts_without_overlaps_skip_the_island_step(spark):
+    """Most texts: their spans are taken over, pieces of the text are not cut again."""
+    one = F.expr("array(named_struct('start', 0, 'neg_end', -2, 'rank', 1, 'entity_type', 'A', "
+                 "'score', 0.8D, 'text', 'ab'))")
+    row = spark.range(1).select(merge_overlaps(one, F.array(F.lit("zz"))).alias("s")).first()
+    assert row["s"][0]["text"] == "ab"
