@@ -19,3 +19,18 @@ def test_joins_of_all_sizes_agree(spark):
         one, two = (sorted((r["id"], r["k"], r["v"] or -1) for r in keyed_join(big, small, "k", "id", how, n).collect())
                     for n in (1000, 10))
         assert one == two and len(one) == (5000 if how == "left" else big.filter("k < 40").count())
+
+
+def test_scans_and_streams_are_spread_over_all_cores(spark, tmp_path):
+    """One file is one partition; computing on it is not one task."""
+    from veilspark.sources.files import spread, tasks
+    from veilspark.streaming.incremental import stream_table
+
+    spark.range(1000).selectExpr("id", "'x' as text").coalesce(1).write.parquet(f"{tmp_path}/in")
+    assert spread(spark.read.parquet(f"{tmp_path}/in")).rdd.getNumPartitions() == tasks(spark)
+    assert tasks(spark) > spark.sparkContext.defaultParallelism
+    seen = []
+    stream_table(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema).writeStream.foreachBatch(
+        lambda batch, n: seen.append(batch.select(F.spark_partition_id()).distinct().count())
+    ).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert max(seen) == tasks(spark)
