@@ -225,3 +225,27 @@ def test_texts_without_overlaps_skip_the_island_step(spark):
                  "'score', 0.8D, 'text', 'ab'))")
     row = spark.range(1).select(merge_overlaps(one, F.array(F.lit("zz"))).alias("s")).first()
     assert row["s"][0]["text"] == "ab"
+
+
+def test_the_shape_of_a_text_hides_no_match(spark):
+    from veilspark.functions.spans import find_hits, text_shape
+
+    rng = random.Random(5)
+    given = ["12 Elm Street", "7  High\tRd, Apt 4B", "10.2.3.4/24", "123-45-6789", "1/2/2020", "3-4-1999",
+             "1999-1-2", "March\n3, 1999", "Newton-On-Tees", "Stow upon\x0bTees", "45.1234567", "(555) 123-4567",
+             "555.123 4567", "5551234567", "+49 30 1234567", "a@b.example.com", "4242424242424242",
+             "4111-1111 1111-1111", "https://a.example.com/x", "DE89370400440532013000", "X12345678", "123456789012",
+             "A123456789012", "ml7", "Ab1234567", "2001:db8::1:2", "bc1" + "q" * 30,
+             "0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "901-70-1234", "st", "Dr.", " ", "\f", "-", "x", "é", "\x01"]
+    texts = ["".join(rng.choice(given) + rng.choice(["", " ", ", ", "\n"]) for _ in range(rng.randint(1, 6)))
+             for _ in range(600)] + given + [""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    chosen = list(PATTERNS)
+    by = lambda shape: F.sort_array(F.filter(
+        find_hits(F.col("text"), shape, chosen), lambda h: F.size(h["pieces"]) > 1))
+    both = rows.select("text", text_shape(F.col("text")).alias("shape")).select(
+        "text", by(F.col("shape")).alias("quick"), by(F.lit(None).cast("string")).alias("slow")).collect()
+    assert {p for r in both for p, _ in r["slow"]} == set(range(len(chosen)))
+    for r in both:
+        assert r["quick"] == r["slow"], r["text"]
+        assert all("".join(h["pieces"]) == r["text"] for h in r["quick"])
