@@ -95,3 +95,19 @@ def test_comparison_is_never_broadcast(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string")
     for made in (compare.paired_values(rows, rows, "id"), compare.changed_entries(rows, rows, "id")):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_cleaned_in_few_rounds_of_the_analyzer(spark):
+    one = records.FIELDS[0]
+    rows = spark.createDataFrame([
+        (1, "mail a@b.example.com", None, None), (2, None, None, None), (3, " ", "not json", "{}")],
+        f"entry int, {one} string, LocationDetails string, DeviceDetail string")
+    before = spark.conf.get("spark.sql.analyzer.maxIterations", "100")
+    spark.conf.set("spark.sql.analyzer.maxIterations", "60")
+    try:
+        out = records.clean_records(rows, fields=(one,)).collect()
+    finally:
+        spark.conf.set("spark.sql.analyzer.maxIterations", before)
+    words = records.dictionary(rows.selectExpr(f"{one} as value").dropna()).collect()
+    cleaned = {w["value"]: w["cleaned"] for w in words}
+    assert [r[one] for r in sorted(out)] == [cleaned["mail a@b.example.com"], None, " "]
