@@ -234,7 +234,8 @@ def test_the_shape_of_a_text_hides_no_match(spark):
     given = ["12 Elm Street", "7  High\tRd, Apt 4B", "10.2.3.4/24", "123-45-6789", "1/2/2020", "3-4-1999",
              "1999-1-2", "March\n3, 1999", "Newton-On-Tees", "Stow upon\x0bTees", "45.1234567", "(555) 123-4567",
              "555.123 4567", "5551234567", "+49 30 1234567", "a@b.example.com", "4242424242424242",
-             "4111-1111 1111-1111", "https://a.example.com/x", "DE89370400440532013000", "X12345678", "123456789012",
+             "4111-1111 1111-1111", "https://a.example.com/x", "www.a.example.com", "123456788",
+             "DE89370400440532013000", "X12345678", "123456789012",
              "A123456789012", "ml7", "Ab1234567", "2001:db8::1:2", "bc1" + "q" * 30,
              "0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f", "901-70-1234", "st", "Dr.", " ", "\f", "-", "x", "é", "\x01"]
     texts = ["".join(rng.choice(given) + rng.choice(["", " ", ", ", "\n"]) for _ in range(rng.randint(1, 6)))
