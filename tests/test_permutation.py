@@ -105,3 +105,33 @@ def test_texts_and_secret(spark):
     one = clean_texts(texts, CleanConfig(unique=True)).head()["anonymized_text"]
     two = clean_texts(texts, CleanConfig(unique=True, secret="s")).head()["anonymized_text"]
     assert one != two and re.fullmatch(r"card \d{4}-\d{4}-\d{4}-\d{4} from \d+\.\d+\.\d+\.\d+, user_\w+@example.net", one)
+
+
+def test_an_address_is_worked_out_once(spark):
+    """Every use of the new bits and of the facts about the old ones is of a value, not of the work."""
+    plan = spark.range(1).select(F.lit("10.1.2.3/24").alias("v"))
+    made = plan.select(prefix_preserving(F.col("v")))._jdf.queryExecution().logical().toString()
+    assert made.lower().count("sha2(") == 1
+
+
+def test_bits_on_the_way_to_a_special_range_stay(spark):
+    """Against the rule in Python, on addresses in and next to each range and networks of them."""
+    import hashlib
+
+    def expected(ip: str) -> str:
+        quad, _, length = ip.partition("/")
+        bits = "".join(f"{int(x):08b}" for x in quad.split("."))
+        own = min(int(length), 32) if length else 32
+        keep = 32 if "1" in bits[own:] else own
+        new = ""
+        for i, b in enumerate(bits):
+            leads = any(len(s) > i and s.startswith(bits[:i]) for s in SPECIAL_V4)
+            turn = int(hashlib.sha256(f"veil|32|{bits[:i]}".encode()).hexdigest()[0], 16) % 2
+            new += str(1 - int(b)) if i < keep and not leads and turn else b
+        return ".".join(str(int(new[i:i + 8], 2)) for i in range(0, 32, 8)) + (f"/{length}" if length else "")
+
+    ips = [f"{a}.{b}.{c}.{d}{s}" for a in (0, 9, 10, 11, 126, 127, 169, 172, 192, 223, 224, 240, 255)
+           for b in (15, 16, 168, 254) for c, d, s in ((1, 7, ""), (0, 0, "/16"), (0, 0, "/0"), (9, 9, "/24"), (1, 0, "/33"))]
+    df = spark.createDataFrame([(x,) for x in ips], "v string")
+    out = {r[0]: r[1] for r in df.select("v", prefix_preserving(F.col("v"))).collect()}
+    assert out == {x: expected(x) for x in ips}
