@@ -34,3 +34,15 @@ def test_scans_and_streams_are_spread_over_all_cores(spark, tmp_path):
         lambda batch, n: seen.append(batch.select(F.spark_partition_id()).distinct().count())
     ).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert max(seen) == tasks(spark)
+
+
+def test_tasks_of_a_spread_scan_grow_with_its_rows(spark, tmp_path):
+    """The longest task is as long for a large table as for a small one."""
+    from veilspark.sources.files import spread, tasks
+
+    spark.range(1000).selectExpr("id", "'x' as text").coalesce(1).write.parquet(f"{tmp_path}/in")
+    n = tasks(spark)
+    wide = spread(spark.read.parquet(f"{tmp_path}/in"), rows=1000 // (2 * n))
+    assert wide.rdd.getNumPartitions() >= 2 * n
+    assert sorted(r["id"] for r in wide.collect()) == list(range(1000))
+    assert spread(spark.read.parquet(f"{tmp_path}/in").limit(0), rows=10).count() == 0
