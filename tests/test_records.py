@@ -111,3 +111,29 @@ def test_records_are_cleaned_in_few_rounds_of_the_analyzer(spark):
     words = records.dictionary(rows.selectExpr(f"{one} as value").dropna()).collect()
     cleaned = {w["value"]: w["cleaned"] for w in words}
     assert [r[one] for r in sorted(out)] == [cleaned["mail a@b.example.com"], None, " "]
+
+
+def test_dictionary_is_cleaned_in_tasks_that_grow_with_the_values(spark):
+    values = spark.range(200).selectExpr(
+        "'client' || cast(id % 90 as string) || '@mail.example.com' as value")
+    words = records.dictionary(values, spread=7)
+    assert words.rdd.getNumPartitions() == 7
+    assert sorted(words.collect()) == sorted(records.dictionary(values).collect())
+    few = records.value_tasks(spark, 10)
+    assert records.value_tasks(spark, 10**6) == 38 and few == records.value_tasks(spark, 0)
+    assert records.value_tasks(spark, 10**6, per_task=100_000) == 190
+
+
+def test_all_values_come_from_one_pass(spark):
+    row = {c: f"{c}@x.example.com" for c in records.FIELDS}
+    places = '{"city":"Rom","state":" ","geoCoordinates":{"latitude":1.50,"longitude":"2.5"}}'
+    rows = [dict(row, entry=1, LocationDetails=places, DeviceDetail='{"deviceId":"{PII1}","displayName":"d"}'),
+            dict(row, entry=1, Identity=None, UserId="  ", LocationDetails="no json", DeviceDetail=None),
+            dict({c: None for c in row}, entry=None, LocationDetails=None, DeviceDetail="{}")]
+    names = ["entry", *records.FIELDS, *records.JSON_FIELDS]
+    frame = spark.createDataFrame([tuple(r[n] for n in names) for r in rows],
+                                  ", ".join(f"{n} {'int' if n == 'entry' else 'string'}" for n in names))
+    one = records.all_values(frame, "entry")
+    two = records.extract_values(frame, "entry").unionByName(records.extract_json_values(frame, "entry"))
+    assert sorted(one.collect()) == sorted(two.collect()) and one.count() == 2 * 13 - 2 + 4
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

@@ -210,3 +210,19 @@ def test_time_spans():
     assert timespan("30m").total_seconds() == 1800 and timespan("7d").days == 7
     with pytest.raises(ValueError):
         timespan("7w")
+
+
+def test_branches_by_halving_are_those_of_a_chain(spark):
+    from veilspark.functions.arrays import by_name
+    from veilspark.functions.patterns import ENTITY_TYPES
+    rows = spark.createDataFrame([(t,) for t in (*ENTITY_TYPES, None, "", "OTHER", "ZZ", "É")], "t string")
+    for n in (0, 1, 3, 4, 7, len(ENTITY_TYPES)):
+        made = by_name(F.col("t"), {t: F.lit(t.lower()) for t in list(ENTITY_TYPES)[:n]}, F.lit("last"))
+        for t, out in rows.select("t", made).collect():
+            assert out == (t.lower() if t in list(ENTITY_TYPES)[:n] else "last")
+
+
+def test_a_key_is_worked_out_once_for_a_span(spark):
+    from veilspark.operators.cleaning import clean_texts
+    plan = clean_texts(spark.createDataFrame([("a@b.example.com",)], "text string"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("sha2(cast(concat_ws(") == 1
