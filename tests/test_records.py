@@ -50,6 +50,16 @@ def test_json_list_and_single_object(spark, tmp_path):
             .collect()} == {"x", "é"}
 
 
+def test_written_records_are_compressed(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id", "'a value that repeats in every record' as a",
+                                        "if(id % 2 = 0, 'é', null) as b")
+    write_records(rows, str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("part-*"))
+    assert size < 2000 * 20
+    back = read_records(spark, str(tmp_path / "out"), rows.schema)
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
 def test_comparison(spark):
     schema = "id int, a string, b struct<c:string,d:array<string>>"
     before = spark.createDataFrame(
