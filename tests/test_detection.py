@@ -250,3 +250,35 @@ def test_the_shape_of_a_text_hides_no_match(spark):
     for r in both:
         assert r["quick"] == r["slow"], r["text"]
         assert all("".join(h["pieces"]) == r["text"] for h in r["quick"])
+
+
+def test_patterns_are_compiled_and_not_in_a_generator(spark):
+    from veilspark.operators.cleaning import with_spans
+
+    texts = spark.createDataFrame([("call 555-123-4567",)], "text string")
+    plan = with_spans(texts)._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate" in line]
+    assert generators and not any("regexp_replace" in line for line in generators)
+
+
+def test_single_matches_are_found_as_others_are(spark):
+    """The short way for patterns that match once against the way over arrays."""
+    from veilspark.functions.patterns import select_patterns
+    from veilspark.functions.spans import (
+        FOUND, chunks as cut, find_hits, place_spans, score_spans, text_shape)
+    from veilspark.operators.cleaning import with_spans
+
+    bodies = ["ssn 123-45-6789", "123-45-6789", "my social  security 123-45-6789 ok",
+              "call\t555-123-4567 or 555-123-4568", "a b c d e f born 1990-01-02", "born a b c d e 1990-01-02",
+              "id 4111-1111-1111-1111 and 4111-1111-1111-1112", "DE89370400440532013000 DE00370400440532013000",
+              "March 3, 1999 issued", "expires March 3, 1999", "valid 1/2/2003", "dob 11-12-1999", "exp 1-2/2003",
+              " 12 Oak Street, Apt 4", "Ship to 12 Oak Street", "é born 1990-01-02", "x\x01 born 1990-01-02", "", None]
+    texts = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, text string")
+    chosen = select_patterns(None, 0.3)
+    rows = texts.withColumn("hits", find_hits(F.col("text"), text_shape(F.col("text")), chosen)).withColumn(
+        "placed", place_spans(F.col("hits"), chosen)).withColumn("parts", cut(F.col("text")))
+    slow = rows.select("id", F.when(F.size("hits") > 0, score_spans(
+        F.col("placed"), F.col("parts"), chosen, 0.3)).otherwise(F.array().cast(f"array<{FOUND}>")).alias("f"))
+    fast = with_spans(texts, CleanConfig(threshold=0.3)).select("id", F.col("found").alias("f"))
+    told = lambda rows: {r["id"]: r["f"] or [] for r in rows.collect()}
+    assert told(fast) == told(slow) and sum(map(len, told(fast).values())) > 15
